@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,3 +74,17 @@ def join_by_key(rows: DataFrame, per_key: DataFrame, counts: DataFrame, key: str
         return rows.join(per_key, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     return rows.where(is_hot).join(F.broadcast(per_key.where(is_hot)), key, how).unionByName(rows.where(~is_hot).join(per_key.where(~is_hot), key, how))
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of ``spark``, once per context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sparkloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="sparkloom-")) / "sparkloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent).as_posix())
+    sc.addPyFile(str(archive))
+    sc._sparkloom_shipped = True
