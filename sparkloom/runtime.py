@@ -88,3 +88,8 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent).as_posix())
     sc.addPyFile(str(archive))
     sc._sparkloom_shipped = True
+
+
+def bounded_broadcast(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``limit`` rows (counted first), else as it is, for an ordinary join."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
