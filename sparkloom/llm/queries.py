@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup
+from ..runtime import bounded_broadcast, shared_dir, written
+from . import capping, cutoffs, neardup, residue
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +39,93 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_groups(rows, "id", "body_markdown", order, F.col("slug"), **NEAR_DUPLICATES).withColumnRenamed("canonical", "canonical_slug")
 
 
+def _p2(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = written(current_rows(_table(spark, sf_dir, "skills"), "entity_type", "quality_score", "quality_tier", "ingested_at"), "p2")
+    tree = cutoffs.DyadicTree(spark, f"{shared_dir(spark).rstrip('/')}/tree-{uuid.uuid4().hex}")
+    tree.add(rows, "entity_type", "quality_score", batch=F.to_date("ingested_at"))
+    found = cutoffs.share_cutoffs(tree, rows, _table(spark, sf_dir, "keep_targets"), "entity_type", "quality_score", "target_pct")
+    return rows, found.withColumnRenamed("source", "entity_type")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept records of each entity_type with its cutoff."""
+    rows, found = _p2(spark, sf_dir)
+    kept = rows.join(bounded_broadcast(found.select("entity_type", "cutoff")), "entity_type").where("quality_score >= cutoff")
+    return kept.select("entity_type", "cutoff", "id").distinct()
+
+
+def p2_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per entity_type: target, scored records, cutoff, kept records, kept share."""
+    found = _p2(spark, sf_dir)[1]
+    return found.select("entity_type", "target_pct", F.col("total").alias("scored"), "cutoff", "kept", F.round(F.col("kept") * 100.0 / F.col("total"), 3).alias("kept_pct"))
+
+
+def p2_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the cutoffs compare with quality_tier: scored and kept records of each entity_type and tier as given."""
+    rows, found = _p2(spark, sf_dir)
+    scored = rows.where("quality_score is not null").join(bounded_broadcast(found.select("entity_type", "cutoff")), "entity_type")
+    tier = F.coalesce(F.lower(F.trim("quality_tier")), F.lit("(none)")).alias("quality_tier")
+    return scored.groupBy("entity_type", tier).agg(F.count(F.lit(1)).alias("scored"), F.count_if(F.col("quality_score") >= F.col("cutoff")).alias("kept"))
+
+
+def p4_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings with residue, filler, messages or notices in name or description, with the kinds found and the share of placeholders."""
+    rows = _table(spark, sf_dir, "apis").where("id is not null").select("id", residue.residue_kinds(F.col("name")).alias("name_kinds"), residue.residue_kinds(F.col("description")).alias("description_kinds"), F.round(residue.placeholder_density(F.col("description")), 4).alias("placeholder_share"))
+    hit = rows.where((F.size("name_kinds") > 0) | (F.size("description_kinds") > 0))
+    return hit.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("name_kinds")))).alias("name_kinds"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("description_kinds")))).alias("description_kinds"), F.max("placeholder_share").alias("placeholder_share"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the listings to exclude."""
+    return p4_listings(spark, sf_dir).select("id")
+
+
+#: Records that each repository may keep.
+REPOSITORY_CAP = 10
+
+
+def _p5(spark: SparkSession, sf_dir: str) -> capping.Capped:
+    rows = current_rows(_table(spark, sf_dir, "skills"), "repo_full_name", "quality_score")
+    return capping.cap_per_contributor(rows, capping.repository(F.col("repo_full_name")), F.col("quality_score"), cap=REPOSITORY_CAP)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The skills left out by the cap on their repository."""
+    return _p5(spark, sf_dir).left_out.select("id")
+
+
+def p5_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog under the cap: id, repository, quality_score."""
+    return _p5(spark, sf_dir).kept.select("id", F.col("contributor").alias("repository"), F.col("score").cast("long").alias("quality_score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p2_found": p2_found,
+    "p2_cutoffs": p2_cutoffs,
+    "p2_tiers": p2_tiers,
+    "p4_found": p4_found,
+    "p4_listings": p4_listings,
+    "p5_found": p5_found,
+    "p5_catalog": p5_catalog,
 }
 
+_CURRENT = "WITH cur AS (SELECT * FROM skills WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY scraped_at DESC NULLS LAST, row_id DESC) = 1)"
+_CUTS = (
+    _CURRENT + ", n AS (SELECT entity_type, count(*) AS total FROM cur WHERE quality_score IS NOT NULL GROUP BY 1), "
+    "s AS (SELECT entity_type, quality_score, sum(count(*)) OVER (PARTITION BY entity_type ORDER BY quality_score DESC) AS kept FROM cur WHERE quality_score IS NOT NULL GROUP BY 1, 2), "
+    "cuts AS (SELECT entity_type, any_value(target_pct) AS target_pct, any_value(total) AS total, max(quality_score) AS cutoff, arg_max(kept, quality_score)::BIGINT AS kept "
+    "FROM s JOIN n USING (entity_type) JOIN keep_targets USING (entity_type) WHERE kept * 100 >= target_pct * total GROUP BY 1)"
+)
+_REPO = r"regexp_replace(regexp_replace(lower(repo_full_name), '^\s+|\s+$', '', 'g'), '\.git$', '')"
+_CAP = _CURRENT + f", ranked AS (SELECT id, {_REPO} AS repository, quality_score, row_number() OVER (PARTITION BY {_REPO} ORDER BY quality_score DESC NULLS LAST, id) AS place FROM cur WHERE repo_full_name IS NOT NULL)"
+
 #: DuckDB's answer to the queries that SQL can express over whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p2_found": _CUTS + " SELECT entity_type, cutoff, id FROM cur JOIN cuts USING (entity_type) WHERE quality_score >= cutoff",
+    "p2_cutoffs": _CUTS + " SELECT entity_type, target_pct, total AS scored, cutoff, kept, round(kept * 100.0 / total, 3) AS kept_pct FROM cuts",
+    "p2_tiers": _CUTS + " SELECT entity_type, coalesce(lower(trim(quality_tier)), '(none)') AS quality_tier, count(*) AS scored, count(*) FILTER (quality_score >= cutoff) AS kept FROM cur JOIN cuts USING (entity_type) WHERE quality_score IS NOT NULL GROUP BY 1, 2",
+    "p5_found": _CAP + f" SELECT id FROM ranked WHERE place > {REPOSITORY_CAP}",
+    "p5_catalog": _CAP + f" SELECT id, repository, quality_score FROM ranked WHERE place <= {REPOSITORY_CAP}",
+}
