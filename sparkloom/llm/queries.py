@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import bounded_broadcast, shared_dir, written
-from . import capping, cutoffs, neardup, residue
+from . import capping, cutoffs, leakage, mixing, neardup, reading, residue
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +99,46 @@ def p5_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p5(spark, sf_dir).kept.select("id", F.col("contributor").alias("repository"), F.col("score").cast("long").alias("quality_score"))
 
 
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the items that leaked into them: longest equal run, matched and substituted words, share of the item."""
+    found = leakage.leaked_passages(_table(spark, sf_dir, "eval_items"), _table(spark, sf_dir, "documents"))
+    return found.withColumn("item_share", F.round("item_share", 4))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items and documents that share a run of at least 12 words."""
+    return p7_leaks(spark, sf_dir).where("run >= 12").select("item_id", "doc_id")
+
+
+def _p8(spark: SparkSession, sf_dir: str) -> mixing.Mixture:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that stay below their weight although every document is used as often as allowed."""
+    return _p8(spark, sf_dir).sources.where("short").select("source")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aimed and reached share of each source."""
+    return _p8(spark, sf_dir).sources
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture: documents with their number of copies."""
+    return _p8(spark, sf_dir).documents
+
+
+def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading level of each document with prose, with what it was judged by."""
+    return reading.reading_levels(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "reading_samples"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as demanding as the level 4 samples."""
+    return p9_levels(spark, sf_dir).where("level >= 4").select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -109,6 +149,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_listings": p4_listings,
     "p5_found": p5_found,
     "p5_catalog": p5_catalog,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
+    "p8_found": p8_found,
+    "p8_shares": p8_shares,
+    "p8_mixture": p8_mixture,
+    "p9_found": p9_found,
+    "p9_levels": p9_levels,
 }
 
 _CURRENT = "WITH cur AS (SELECT * FROM skills WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY scraped_at DESC NULLS LAST, row_id DESC) = 1)"
