@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import bounded_broadcast, shared_dir, written
-from . import capping, cutoffs, leakage, mixing, neardup, reading, residue
+from . import capping, cutoffs, leakage, linkage, mixing, neardup, reading, residue
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,16 @@ def p2_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("entity_type", tier).agg(F.count(F.lit(1)).alias("scored"), F.count_if(F.col("quality_score") >= F.col("cutoff")).alias("kept"))
 
 
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate pairs of listings with confidence and agreement levels."""
+    return linkage.linked_listings(_table(spark, sf_dir, "apis")).withColumn("confidence", F.round("confidence", 6))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of listings that mean one API."""
+    return linkage.linked_listings(_table(spark, sf_dir, "apis")).where("confidence >= 0.5").select("id_a", "id_b")
+
+
 def p4_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings with residue, filler, messages or notices in name or description, with the kinds found and the share of placeholders."""
     rows = _table(spark, sf_dir, "apis").where("id is not null").select("id", residue.residue_kinds(F.col("name")).alias("name_kinds"), residue.residue_kinds(F.col("description")).alias("description_kinds"), F.round(residue.placeholder_density(F.col("description")), 4).alias("placeholder_share"))
@@ -145,6 +155,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_cutoffs": p2_cutoffs,
     "p2_tiers": p2_tiers,
+    "p3_found": p3_found,
+    "p3_links": p3_links,
     "p4_found": p4_found,
     "p4_listings": p4_listings,
     "p5_found": p5_found,
