@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import bounded_broadcast, shared_dir, written
-from . import capping, cutoffs, leakage, linkage, mixing, neardup, reading, residue
+from . import capping, cutoffs, leakage, linkage, mixing, neardup, neighbours, reading, residue
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +109,22 @@ def p5_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p5(spark, sf_dir).kept.select("id", F.col("contributor").alias("repository"), F.col("score").cast("long").alias("quality_score"))
 
 
+#: Problem 6, as TESTDATA.md states it.
+NEIGHBOURS, SIMILAR = 5, 0.86
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors of cosine 0.86 or more of which one is among the 5 most similar of the other."""
+    found = neighbours.similar_vectors(_table(spark, sf_dir, "skill_vectors"), "id", "values", NEIGHBOURS, SIMILAR).where(F.col("cosine") >= SIMILAR)
+    return found.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 most similar vectors of every usable vector, however similar, with cosine and place."""
+    found = neighbours.similar_vectors(_table(spark, sf_dir, "skill_vectors"), "id", "values", NEIGHBOURS, certainty=0.95)
+    return found.withColumn("cosine", F.round("cosine", 9))
+
+
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the items that leaked into them: longest equal run, matched and substituted words, share of the item."""
     found = leakage.leaked_passages(_table(spark, sf_dir, "eval_items"), _table(spark, sf_dir, "documents"))
@@ -161,6 +177,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_listings": p4_listings,
     "p5_found": p5_found,
     "p5_catalog": p5_catalog,
+    "p6_found": p6_found,
+    "p6_neighbours": p6_neighbours,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
     "p8_found": p8_found,
