@@ -22,7 +22,7 @@ GRAMMARS = {
     "percent_tag": r"<%[=\-#]?\s*" + _FIELD + r"\s*[\-]?%>",
     "block": r"\{%-?\s*" + _FIELD + r"\s*-?%\}",
     "brackets": r"\[\[\s*" + _FIELD + r"\s*\]\]",
-    "percent": r"%%\s*" + _FIELD + r"\s*%%|%[A-Z][A-Z0-9]*(?:[._][A-Z0-9]+)*%|%\([A-Za-z_]\w*\)[sd]",
+    "percent": r"%%\s*" + _FIELD + r"\s*%%|%[A-Z][A-Z0-9]*(?:[._][A-Z0-9]+){0,9}%|%\([A-Za-z_]\w*\)[sd]",
     "at": r"@@\s*" + _FIELD + r"\s*@@",
     "underscores": r"(?<![\w.])__[A-Za-z][\w.\-]*?__(?![\w(.])",
     "angle_request": r"(?i)<\s*(?:insert|enter|add|your|type|put|fill in|write|votre|ins[ée]rer)\b[^<>]{0,80}>",
@@ -40,8 +40,8 @@ _LATIN = "lorem ipsum dolor sit amet consectetur consectetuer consec adipiscing
 _LATIN_WORD = "(?:" + "|".join(_LATIN.split()) + ")"
 _KEYS = r"(?:asdf\w*|qwert\w*|sdfg\w*|hjkl|blah|bla|foo|bar|baz|xxx+|yyy+|zzz+|abc|aaa+|test|testing|string|text|sample|dummy|title|name|description|placeholder|123|\.\.\.)"
 FILLER = {
-    "latin": r"(?i)(?<!\w)" + _LATIN_WORD + r"(?:[\s,.;]+" + _LATIN_WORD + r"){4,}|^\s*lorem(?: ipsum)?\b[\s.…]*$",
-    "repeat": r"(?i)^\W*(\w+(?: \w+){0,2})(?:[\s,.;]+\1)+\W*$|(?<!\w)" + _KEYS + r"(?:[\s,.]+" + _KEYS + r"){2,}(?!\w)|(?<!\w)(asdf\w*|blah|xxx+|foo bar|qwerty)[\s,.]+\2(?!\w)",
+    "latin": r"(?i)(?<!\w)" + _LATIN_WORD + r"(?:[\s,.;]+" + _LATIN_WORD + r"){4}|^\s*lorem(?: ipsum)?\b[\s.…]*$",
+    "repeat": r"(?i)(?<!\w)" + _KEYS + r"(?:[\s,.]+" + _KEYS + r"){2}(?!\w)|(?<!\w)(asdf\w*|blah|xxx+|foo bar|qwerty)[\s,.]+\1(?!\w)",
     "stand_in": r"(?i)\btext text\b|\beven more text\b|\b(?:description|text|content|title|summary) goes here\b|\b(?:placeholder|dummy|filler|sample|example) (?:text|content|description|copy)\b[^.]{0,20}\b(?:to be (?:replaced|changed|removed|filled)|for layout|only|before launch|do not publish|goes here|here)\b"
     r"|\bthis is (?:a|the|an) (?:default|sample|placeholder|dummy|example|test) (?:description|text|title|summary|entry|page)\b|\bplease (?:change|replace|edit|update) (?:it|this|me)\b|^\s*(?:sample|placeholder|dummy|test|default|example) (?:text|content|description|title|name|api|entry)\W*$",
     "to_complete": r"(?i)^\W*(?:(?:une? |la |le )?(?:description|texte|titre|r[ée]sum[ée]|contenu)\s+(?:[àa]\s+(?:compl[ée]ter|venir|remplir|ajouter|r[ée]diger)|non renseign[ée]e?|manquante?)|[àa] compl[ée]ter|(?:description |content |text )?coming soon|to be (?:completed|defined|announced|written|added)|no description(?: yet| available| provided)?|untitled|sans titre)\W*$|(?<!\w)(?:description|texte|contenu) [àa] compl[ée]ter(?!\w)",
@@ -52,7 +52,7 @@ _STATUS = r"(?:Bad Request|Unauthorized|Payment Required|Forbidden|Not Found|Met
 #: What sites print before their content.
 _NAVIGATION = r"(?:(?:nav|menu|search|home|docs|login|log in|sign in|sign up|back|skip to (?:main )?content|accueil|connexion|aller au contenu|retour|close|about|help|contact)\b|[|☰×←→•»«/>✕=\-–—\s])"
 MESSAGES = {
-    "status": r"(?i)(?:^|[.!?…]\s)\s*" + _NAVIGATION + r"*(?:(?:https?\s*)?(?:error|erreur|status|code)?[\s:#-]*[45]\d\d\s*[-–:|]*\s*" + _STATUS + r"|(?:http\s*)?(?:error|erreur)[\s:#-]*[45]\d\d\b|" + _STATUS + r"\s*[:.!]\s+(?:the|this|you|your|please|we|sorry|try)\b|" + _STATUS + r"\s*$)|^\W*(?:error|erreur)\W*\d*\W*$|^\W*[45]\d\d\W*$",
+    "status": r"(?i)(?:^|[.!?…]\s)\s*" + _NAVIGATION + r"{0,40}(?:(?:https?\s*)?(?:error|erreur|status|code)?[\s:#-]*[45]\d\d\s*[-–:|]*\s*" + _STATUS + r"|(?:http\s*)?(?:error|erreur)[\s:#-]*[45]\d\d\b|" + _STATUS + r"\s*[:.!]\s+(?:the|this|you|your|please|we|sorry|try)\b|" + _STATUS + r"\s*$)|^\W*(?:error|erreur)\W*\d*\W*$|^\W*[45]\d\d\W*$",
     "absent": r"(?i)\brequested (?:url|page|resource|file|document) (?:\S+ )?(?:was|could|is|does)\s?n[o']t\b|\b(?:can(?:'|no)t|could not|couldn't|unable to) (?:find|locate|display|load) (?:the|that|this) (?:page|site|content)\b|\bpage (?:you (?:are|were|requested)|that you)[^.]{0,60}(?:not|moved|removed|found|exist|looking)|\b(?:this )?page (?:does not|doesn't|no longer) exists?\b|\bcette page n['’]existe\b|\bpage (?:introuvable|non trouv[ée]e)\b|\ba [ée]t[ée] d[ée]plac[ée]e\b[^.]{0,20}erreur",
     "refused": r"(?i)\byou (?:do not|don't) have (?:the )?(?:permission|access|rights?)\b|\byou are not (?:authori[sz]ed|allowed) to\b|\baccess (?:to this (?:page|site|resource) )?(?:is|was|has been) (?:denied|blocked|forbidden)\b|\byour (?:session|login|link) (?:has )?(?:expired|timed out)\b|\bvotre session a expir[ée]\b|\bplease (?:sign|log) in (?:again )?to (?:continue|proceed|view)\b|\byour (?:ip|ip address|request|access) (?:has been|was|is) (?:blocked|denied|banned)\b|\btoo many requests\b[.!:]\s*(?:slow|please|try|retry|wait)|\bslow down and retry\b|\bacc[èe]s (?:refus[ée]|interdit)\b[.!:]",
     "failing": r"(?i)\b(?:please )?try again (?:later|in a (?:few|moment))\b|\br[ée]essayez? (?:plus tard|ult[ée]rieurement)\b|\bserver (?:could not|cannot|is unable to|was unable to|encountered)\b[^.]{0,40}\b(?:request|error)\b|\bsomething went wrong\b|\ban (?:unexpected |internal )?error (?:has )?occurred\b|\bune erreur (?:est survenue|s'est produite)\b|\bdown for (?:scheduled )?maintenance\b|\b(?:under|en cours de|site en) maintenance\b[.!]|\bdomain (?:name )?(?:is|has been) (?:parked|for sale|suspended|expired)\b|\bdomaine? est (?:[àa] vendre|en parking|r[ée]serv[ée])\b|\bcontact the owner to buy\b|\baccount (?:has been )?suspended\b|\bcontact (?:the|your) (?:web)?(?:site )?administrator\b|\b(?:ray|request|reference) (?:id )?#?[0-9a-f]{6,}\b",
@@ -80,15 +80,21 @@ SPOKEN_OF = (
 )
 #: Messages and filler that the sentence around them speaks about: the sentence is about detecting, making or testing them.
 _ABOUT = r"(?:detect|monitor|report|track|log|alert|return|generat|produc|test|simulat|try|find|flag|catch|classif|list|count|watch|render|handl|d[ée]tect|surveill|g[ée]n[èe]r)\w*"
-SPOKEN_SENTENCE = (
-    r"(?i)(?:^|(?<=[.!?…]\s)|(?<=…))[^.!?…]*\b" + _ABOUT + r"\b[^.!?…]*\b(?:every|each|such as|like|all|failures?|style|error pages?|parked domains?|placeholder text|answers?|filler|that need|when|toutes?|chaque)\b[^.!?…]*[.!?…]?"
-)
+SPOKEN_SENTENCE = r"(?i)(?:^|(?<=[.!?…]\s)|(?<=…))[^.!?…]{0,300}\b" + _ABOUT + r"\b[^.!?…]{0,300}\b(?:every|each|such as|like|all|failures?|style|error pages?|parked domains?|placeholder text|answers?|filler|that need|when|toutes?|chaque)\b[^.!?…]{0,300}[.!?…]?"
 
 
 def _hits(text: Column, family: dict[str, str], prefix: str) -> list[Column]:
     return [F.when(text.rlike(p), F.lit(f"{prefix}:{k}")) for k, p in family.items()]
 
 
+def is_repetition(text: Column) -> Column:
+    """True where ``text`` is one to three words said over and over, two times at least."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    unit = F.array_distinct(words)
+    times = F.floor(F.size(words) / F.size(unit)).cast("int")
+    return (F.size(unit) >= 1) & (F.size(unit) <= 3) & (times >= 2) & (F.array_join(words, " ") == F.rtrim(F.repeat(F.concat(F.array_join(unit, " "), F.lit(" ")), times)))
+
+
 def residue_kinds(text: Column) -> Column:
     """Sorted kinds of residue in ``text`` (``placeholder:braces``, ``filler:latin``, ``message:status``, ``notice:off`` ...); empty where there is none.
 
@@ -103,6 +109,7 @@ def residue_kinds(text: Column) -> Column:
         *_hits(unspoken, GRAMMARS, "placeholder"),
         F.when(unspoken.rlike(BARE), F.lit("placeholder:bare")),
         *_hits(unspoken, FILLER, "filler"),
+        F.when(is_repetition(unspoken), F.lit("filler:repetition")),
         *_hits(told, MESSAGES, "message"),
         *_hits(unspoken, NOTICES, "notice"),
     ]
