@@ -20,3 +20,46 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank", partitio
     sizes = own.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_range", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range")) - F.col("_n")).alias("_before"))
     return own.join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + F.col("_place")).cast("long")).drop("_range", "_place", "_before")
+
+
+def percentile_tiers(df: DataFrame, order: list[Column], featured: float = 0.10, solid: float = 0.30, cap: int | None = None) -> DataFrame:
+    """``df`` with rank and tier: the first floor(featured * n) rows in ``order`` are featured, the next floor(solid * n) solid, the rest listed.
+
+    With ``cap`` featured is cut to it first, and solid to what is left of it.
+    """
+    ranked = global_rank(df, order)
+    n = ranked.count()
+    first = int(n * featured)
+    second = int(n * solid)
+    if cap is not None:
+        first = min(first, cap)
+        second = min(second, max(0, cap - first))
+    return ranked.withColumn("tier", F.when(F.col("rank") <= first, "featured").when(F.col("rank") <= first + second, "solid").otherwise("listed"))
+
+
+def round_robin(df: DataFrame, source: str, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows, taking one of each source in turn; sources take turns in the order of their best rows."""
+    place = F.row_number().over(Window.partitionBy(source).orderBy(*order))
+    rows = df.withColumn("turn", place).where(F.col("turn") <= n)
+    return rows.orderBy("turn", *order).limit(n)
+
+
+def downsample(df: DataFrame, key: list[str], order: list[Column], points: int = 60) -> DataFrame:
+    """At most ``points`` rows per key, evenly by position: floor(i * n / points) for i below points, and the last row always."""
+    w = Window.partitionBy(*key)
+    rows = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    step = F.col("_n") / F.lit(float(points))
+    i = F.ceil(F.col("_i") / step)
+    near = F.exists(F.array(i - 1, i, i + 1), lambda x: (x >= 0) & (x < points) & (F.floor(x * step) == F.col("_i")))
+    return rows.where((F.col("_n") <= points) | near | (F.col("_i") == F.col("_n") - 1)).drop("_i", "_n")
+
+
+def slugs(df: DataFrame, owner: Column, name: str, repo: str, score: str, id_col: str) -> DataFrame:
+    """slug per row: owner/name where that is free, else owner/repo-name for all who share it; ``winner`` marks the one of a shared short
+    slug to which it redirects: greatest score, then shorter repository name, then id."""
+    rows = df.withColumn("_owner", owner).withColumn("short", F.concat_ws("/", F.col("_owner"), F.col(name)))
+    w = Window.partitionBy("short")
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(w))
+    rows = rows.withColumn("_place", F.row_number().over(w.orderBy(F.desc_nulls_last(score), F.length(repo), F.col(repo), F.col(id_col))))
+    longer = F.concat_ws("/", "_owner", F.concat_ws("-", F.col(repo), F.col(name)))
+    return rows.withColumn("slug", F.when(F.col("_n") > 1, longer).otherwise(F.col("short"))).withColumn("winner", (F.col("_n") > 1) & (F.col("_place") == 1)).drop("_owner", "_n", "_place")
