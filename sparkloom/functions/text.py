@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Labels in front of a registered name, category keywords, licence names, media types, units.
 HOST_LABELS = ["www", "api", "apis", "developer", "developers", "docs", "portal", "data", "rest", "app", "gateway", "services", "dev"]
@@ -85,15 +86,17 @@ def categorize(name: Column, *texts: Column) -> Column:
     """Category with the most keyword hits in all texts, a hit in the name counting three; the earlier category on ties, a default without hits."""
     name_l = F.lower(F.coalesce(name, F.lit("")))
     text = F.lower(F.concat_ws(" ", F.coalesce(name, F.lit("")), *[F.coalesce(t, F.lit("")) for t in texts]))
-    scores = []
-    for words in CATEGORIES.values():
-        score = F.lit(0)
-        for w in words.split():
-            score = score + F.when(F.contains(text, F.lit(w)), F.when(F.contains(name_l, F.lit(w)), 3).otherwise(1)).otherwise(0)
-        scores.append(score)
-    best = F.array(*scores)
-    top = F.array_max(best)
-    return F.when(top > 0, F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), F.array_position(best, top).cast("int"))).otherwise(F.lit(DEFAULT_CATEGORY))
+    table = F.array(*[F.array(*[F.lit(w) for w in words.split()]) for words in CATEGORIES.values()])
+
+    def scores(x: Column) -> Column:
+        hit = lambda w: F.when(F.contains(x.t, w), F.when(F.contains(x.n, w), 3).otherwise(1)).otherwise(0)
+        return F.transform(table, lambda words: F.aggregate(words, F.lit(0), lambda s, w: s + hit(w)))
+
+    # The texts are bound once, not built again for every keyword.
+    best = F.element_at(F.transform(F.array(F.struct(text.alias("t"), name_l.alias("n"))), scores), 1)
+    names = F.array(*[F.lit(c) for c in CATEGORIES])
+    pick = lambda b: F.when(F.array_max(b) > 0, F.element_at(names, F.array_position(b, F.array_max(b)).cast("int"))).otherwise(F.lit(DEFAULT_CATEGORY))
+    return F.element_at(F.transform(F.array(best), pick), 1)
 
 
 def valid_tags(tags: Column) -> Column:
@@ -197,7 +200,7 @@ def vector_id(record_id: Column) -> Column:
     return F.when(F.length(record_id) <= 64, F.regexp_replace(record_id, r"[^A-Za-z0-9_-]", "_")).otherwise(F.concat(F.lit("sk_"), F.substring(F.sha2(record_id, 256), 1, 40)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_accents(text: pd.Series) -> pd.Series:
     """``text`` decomposed and without combining marks; there is no such function in the JVM."""
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
@@ -206,7 +209,7 @@ def fold_accents(text: pd.Series) -> pd.Series:
 _ENTITY = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|amp|lt|gt|quot|apos|nbsp);")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_entities(text: pd.Series) -> pd.Series:
     """``text`` with numeric and the six common named entities decoded; others stay as they are."""
     return text.map(lambda t: None if t is None else _ENTITY.sub(lambda m: " " if m.group() == "&nbsp;" else html.unescape(m.group()), t))

@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import catalog
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (catalog,):
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
