@@ -60,31 +60,45 @@ def request_class(user_agent: Column, token: Column, mcp_valid: Column, mcp_clie
     """struct(class, operator, confidence, method): the first rule that applies decides; nothing is human by default."""
     ua = F.lower(F.coalesce(user_agent, F.lit("")))
     agent, crawler = _first(ua, AGENTS, AGENT_PREFIXES), _first(ua, CRAWLERS)
-    declared = F.coalesce(agent, crawler)
-    hosting = network_class(asn, org) == "hosting"
-    false_name = ~F.coalesce(signature == "verified", F.lit(False)) & hosting & F.coalesce(~operator_network(declared, org), F.lit(False))
-    echoed = F.length(F.trim(F.coalesce(token, F.lit("")))) > 0
-    tool = F.nullif(F.lower(F.trim(F.regexp_extract(F.coalesce(token, F.lit("")), r"(?i);\s*tool=([^;]+)", 1))), F.lit(""))
-    automated = ua.rlike("|".join(a.replace("-", "[-]") for a in AUTOMATION))
-    browser = F.startswith(ua, F.lit("mozilla/"))
+    # Bound once per row: repeated in every rule, these would grow the generated code beyond its limit.
+    facts = F.struct(
+        ua.alias("ua"),
+        agent.alias("agent"),
+        crawler.alias("crawler"),
+        (network_class(asn, org) == "hosting").alias("hosting"),
+        F.coalesce(org, F.lit("")).alias("org"),
+        F.trim(F.coalesce(token, F.lit(""))).alias("token"),
+        F.coalesce(mcp_valid, F.lit(False)).alias("mcp"),
+        F.nullif(F.lower(F.trim(mcp_client)), F.lit("")).alias("client"),
+        coherent.alias("coherent"),
+        F.coalesce(signature == "verified", F.lit(False)).alias("verified"),
+    )
+    tool = lambda t: F.nullif(F.lower(F.trim(F.regexp_extract(t, r"(?i);\s*tool=([^;]+)", 1))), F.lit(""))
 
     def say(kind, operator, confidence, method):
         return F.struct(F.lit(kind).alias("class"), (operator if operator is not None else F.lit(None)).cast("string").alias("operator"), F.lit(confidence).alias("confidence"), F.lit(method).alias("method"))
 
-    return (
-        F.when(echoed, say("agent", tool, 0.95, "token_echo"))
-        .when(F.coalesce(mcp_valid, F.lit(False)), say("agent", F.nullif(F.lower(F.trim(mcp_client)), F.lit("")), 0.95, "mcp"))
-        .when(declared.isNotNull() & false_name, say("impersonation_suspected", declared, 0.8, "ua_asn_mismatch"))
-        .when(agent.isNotNull(), say("agent", agent, 0.9, "ua_list"))
-        .when(crawler.isNotNull(), say("crawler", crawler, 0.9, "ua_list"))
-        .when(automated, say("automated_unknown", None, 0.8, "ua_list"))
-        .when(F.trim(ua) == "", say("automated_unknown", None, 0.7, "no_ua"))
-        .when(browser & hosting, say("automated_unknown", None, 0.7, "coherent_datacenter"))
-        .when(browser & (coherent == 0), say("automated_unknown", None, 0.6, "coherence"))
-        .when(browser & (coherent == 1), say("human", None, 0.7, "coherence"))
-        .when(browser, say("unknown", None, 0.5, "default"))
-        .otherwise(say("unknown", None, 0.3, "default"))
-    )
+    def verdict(x: Column) -> Column:
+        declared = F.coalesce(x.agent, x.crawler)
+        false_name = ~x.verified & x.hosting & F.coalesce(~operator_network(declared, x.org), F.lit(False))
+        automated = x.ua.rlike("|".join(a.replace("-", "[-]") for a in AUTOMATION))
+        browser = F.startswith(x.ua, F.lit("mozilla/"))
+        return (
+            F.when(x.token != "", say("agent", tool(x.token), 0.95, "token_echo"))
+            .when(x.mcp, say("agent", x.client, 0.95, "mcp"))
+            .when(declared.isNotNull() & false_name, say("impersonation_suspected", declared, 0.8, "ua_asn_mismatch"))
+            .when(x.agent.isNotNull(), say("agent", x.agent, 0.9, "ua_list"))
+            .when(x.crawler.isNotNull(), say("crawler", x.crawler, 0.9, "ua_list"))
+            .when(automated, say("automated_unknown", None, 0.8, "ua_list"))
+            .when(F.trim(x.ua) == "", say("automated_unknown", None, 0.7, "no_ua"))
+            .when(browser & x.hosting, say("automated_unknown", None, 0.7, "coherent_datacenter"))
+            .when(browser & (x.coherent == 0), say("automated_unknown", None, 0.6, "coherence"))
+            .when(browser & (x.coherent == 1), say("human", None, 0.7, "coherence"))
+            .when(browser, say("unknown", None, 0.5, "default"))
+            .otherwise(say("unknown", None, 0.3, "default"))
+        )
+
+    return F.element_at(F.transform(F.array(facts), verdict), 1)
 
 
 def answer_class(status: Column, mitigated: Column, body: Column, failed: Column) -> Column:

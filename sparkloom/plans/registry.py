@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import catalog
+from . import catalog, listings, nearest, traffic
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (catalog,):
+for _module in (catalog, listings, traffic, nearest):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
