@@ -124,7 +124,7 @@ def first_paragraph(text: Column) -> Column:
     lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x))
     skip = lambda x: (x == "") | x.rlike(r"^(#|---|\||```|~~~)")
     prose = F.array_join(F.transform(lines, lambda x: F.when(skip(x), F.lit("\u0001")).otherwise(x)), "\n")
-    return F.substring(F.replace(F.regexp_extract(prose, r"(?:^|\n|\x01)([^\x01\n][^\x01]*)", 1), F.lit("\n"), F.lit(" ")), 1, 500)
+    return F.substring(F.trim(F.replace(F.regexp_extract(prose, r"(?:^|\n|\x01)([^\x01\n][^\x01]*)", 1), F.lit("\n"), F.lit(" "))), 1, 500)
 
 
 def spdx_of(name: Column) -> Column:
