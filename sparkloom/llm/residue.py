@@ -103,17 +103,22 @@ def residue_kinds(text: Column) -> Column:
     """
     prose = F.regexp_replace(text, CODE, " ")
     unspoken = F.regexp_replace(prose, SPOKEN_OF, " ")
-    # A message keeps its sentence unless the sentence is about messages; whole messages never are.
-    told = F.regexp_replace(unspoken, SPOKEN_SENTENCE, " ")
-    found = [
-        *_hits(unspoken, GRAMMARS, "placeholder"),
-        F.when(unspoken.rlike(BARE), F.lit("placeholder:bare")),
-        *_hits(unspoken, FILLER, "filler"),
-        F.when(is_repetition(unspoken), F.lit("filler:repetition")),
-        *_hits(told, MESSAGES, "message"),
-        *_hits(unspoken, NOTICES, "notice"),
-    ]
-    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.array_sort(F.array_compact(F.array(*found))))
+
+    def kinds(x: Column) -> Column:
+        found = [
+            *_hits(x.unspoken, GRAMMARS, "placeholder"),
+            F.when(x.unspoken.rlike(BARE), F.lit("placeholder:bare")),
+            *_hits(x.unspoken, FILLER, "filler"),
+            F.when(is_repetition(x.unspoken), F.lit("filler:repetition")),
+            *_hits(x.told, MESSAGES, "message"),
+            *_hits(x.unspoken, NOTICES, "notice"),
+        ]
+        return F.array_sort(F.array_compact(F.array(*found)))
+
+    # The cleaned texts are bound once per row: inside every test they would be made again for each of them.
+    # A message keeps its sentence unless the sentence is about messages.
+    cleaned = F.transform(F.array(unspoken), lambda u: F.struct(u.alias("unspoken"), F.regexp_replace(u, SPOKEN_SENTENCE, " ").alias("told")))
+    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.element_at(F.transform(cleaned, kinds), 1))
 
 
 def placeholder_density(text: Column) -> Column:
