@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import catalog, listings, nearest, traffic
+from . import catalog, details, listings, nearest, traffic
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (catalog, listings, traffic, nearest):
+for _module in (catalog, listings, traffic, nearest, details):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
