@@ -22,7 +22,7 @@ COVERED = 0.7
 #: Ranked words kept per language; every word beyond has the rank after the last. Bounds what is sent to the workers.
 VOCABULARY = 20_000
 #: Languages with less than this share of the labelled words have no vocabulary of their own: 1/LANGUAGE_SHARE languages at most.
-LANGUAGE_SHARE = 0.002
+LANGUAGE_SHARE = 0.01
 
 _CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]+`|<(script|style|pre|code)\b.*?</\1>", re.S | re.I)
 #: Lines that are no prose: headings, table rows, rules, data, link definitions, bare addresses.
