@@ -21,6 +21,8 @@ from ..runtime import bounded_broadcast, written
 COVERED = 0.7
 #: Ranked words kept per language; every word beyond has the rank after the last. Bounds what is sent to the workers.
 VOCABULARY = 20_000
+#: Spreads beyond which a rank is no farther from a level.
+FARTHEST = 5.0
 #: Languages with less than this share of the labelled words have no vocabulary of their own: 1/LANGUAGE_SHARE languages at most.
 LANGUAGE_SHARE = 0.01
 
@@ -147,7 +149,7 @@ def reading_levels(docs: DataFrame, samples: DataFrame, doc_id: str = "doc_id",
     """One row per document with prose: its id, lang (as measured), coverage_rank, sentence_rank, sentence_words, sentences, words, level.
 
     level is the level of the samples whose mean coverage rank, median sentence rank and median sentence length, in logarithms and in
-    units of their spread, are nearest (ties: the lower level); medians keep single sentences from deciding, and the rank over all
+    units of their spread (the ranks FARTHEST at most), are nearest (ties: the lower level); medians keep single sentences from deciding, and the rank over all
     words and the rank of the median sentence must both speak for a level. Labels of ``lang`` only choose in which vocabulary a
     document is counted; wrong ones shift ranks a little, and the measured language does not depend on them.
     Documents without prose (null, empty, only code or tables) have no row. Without samples nothing has a level and the result is
@@ -167,6 +169,9 @@ def reading_levels(docs: DataFrame, samples: DataFrame, doc_id: str = "doc_id",
     table = calibration.groupBy("lang").agg(F.collect_list(F.struct("reading_level", "a", "b", "c", "sa", "sb", "sc")).alias("levels"))
     rows = measured(prose, vocabulary).withColumn("_at", F.when(F.col("lang").isin(with_samples), F.col("lang")).otherwise(F.lit("")))
     table = bounded_broadcast(table.select(F.coalesce("lang", F.lit("")).alias("_at"), "levels"))
-    far = lambda x: (F.pow((F.ln("coverage_rank") - x.a) / x.sa, F.lit(2)) + F.pow((F.ln("sentence_rank") - x.b) / x.sb, F.lit(2)) + F.pow((F.ln("sentence_words") - x.c) / x.sc, F.lit(2)))
+    # Neither rank counts for more than FARTHEST spreads, so that neither decides alone.
+    apart = lambda c, mean, spread: F.pow((F.ln(c) - mean) / spread, F.lit(2))
+    most = F.lit(FARTHEST**2)
+    far = lambda x: F.least(apart("coverage_rank", x.a, x.sa), most) + F.least(apart("sentence_rank", x.b, x.sb), most) + apart("sentence_words", x.c, x.sc)
     nearest = F.array_min(F.transform("levels", lambda x: F.struct(far(x).alias("far"), x.reading_level.alias("level"))))
     return rows.join(table, "_at").select(F.col("key").cast(docs.schema[doc_id].dataType).alias(doc_id), "lang", "coverage_rank", "sentence_rank", "sentence_words", "sentences", "words", nearest["level"].alias("level"))
