@@ -31,10 +31,10 @@ def confidence(c: Column) -> Column:
 def scheme_of(schemes: Column, required: Column) -> Column:
     """Auth type of an API: of the first required scheme (name, type) that is known, else the first in AUTH_ORDER; none where no scheme is known."""
     known = F.filter(schemes, lambda s: s.type != "unknown")
-    named = F.element_at(F.transform(F.filter(required, lambda r: F.exists(known, lambda s: s.name == r)), lambda r: F.filter(known, lambda s: s.name == r)[0].type), 1)
+    named = F.element_at(F.transform(F.filter(required, lambda r: F.exists(known, lambda s: s["name"] == r)), lambda r: F.filter(known, lambda s: s["name"] == r)[0].type), 1)
     ordered = F.element_at(F.filter(F.array(*[F.lit(a) for a in AUTH_ORDER]), lambda a: F.exists(known, lambda s: s.type == a)), 1)
     some = F.size(F.coalesce(known, F.array().cast("array<struct<name:string,type:string>>"))) > 0
-    first_named = F.when(F.size(F.filter(required, lambda r: F.exists(known, lambda s: s.name == r))) > 0, named)
+    first_named = F.when(F.size(F.filter(required, lambda r: F.exists(known, lambda s: s["name"] == r))) > 0, named)
     return F.when(some, F.coalesce(first_named, F.when(F.exists(known, lambda s: s.type.isin(AUTH_ORDER)), ordered), F.lit("none"))).otherwise("none")
 
 

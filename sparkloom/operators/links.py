@@ -46,7 +46,7 @@ def co_occurrences(pairs: DataFrame, top: int = 8) -> DataFrame:
     sets = pairs.groupBy("id").agg(F.array_sort(F.collect_set("service")).alias("s"))
     rows = sets.select(F.explode("s").alias("service"), "s").select("service", F.explode("s").alias("other")).where("service <> other")
     n = rows.groupBy("service", "other").agg(F.count(F.lit(1)).alias("together"))
-    return n.withColumn("place", F.row_number().over(Window.partitionBy("service").orderBy(F.desc("together"), "other"))).where(F.col("place") <= top)
+    return n.withColumn("place", F.row_number().over(Window.partitionBy("service").orderBy(F.desc("together"), "other")).cast("long")).where(F.col("place") <= top)
 
 
 def growth(snapshots: DataFrame, date: str, key: str, value: str, days: int = 7) -> DataFrame:

@@ -477,7 +477,7 @@ def union_precedence(spark, d) -> DataFrame:
     return dedup.union_by_precedence(parts, ["slug"])
 
 
-@query(WITH + " SELECT to_json({'id': id, 'url': '/skills/' || slug, 'title': name, 'summary': CASE WHEN length(description) > 30 THEN left(description, 30) || '…' ELSE description END}) AS item, row_number() OVER (ORDER BY quality_score DESC NULLS LAST, id) AS place FROM cur WHERE lower(trim(quality_tier)) IN ('featured', 'solid') QUALIFY place <= 50")
+@query(WITH + " SELECT to_json({'id': id, 'url': '/skills/' || slug, 'title': name, 'summary': CASE WHEN length(description) > 30 THEN left(description, 30) || '…' ELSE description END})::VARCHAR AS item, row_number() OVER (ORDER BY quality_score DESC NULLS LAST, id) AS place FROM cur WHERE lower(trim(quality_tier)) IN ('featured', 'solid') QUALIFY place <= 50")
 def feed_items(spark, d) -> DataFrame:
     r = current_skills(spark, d, "slug", "name", "description", "quality_score", "quality_tier").where(F.lower(F.trim("quality_tier")).isin("featured", "solid"))
     top = r.orderBy(F.desc_nulls_last("quality_score"), "id").limit(50)

@@ -140,7 +140,38 @@ def pseudo_vectors(spark, d) -> DataFrame:
     return v.select("id", seed.alias("seed"), F.round(F.conv(F.substring(seed, 1, 2), 16, 10).cast("int") / 255.0 * 2 - 1, 6).alias("first"))
 
 
-@query("SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE length(text) END AS n, n_chars = length(text) AS agrees, list_slice(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 1 AND NOT array_has([" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "], w)), 1, 3) AS first_words FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, length(text) AS n, n_chars = length(text) AS agrees, list_slice(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 1 AND NOT array_has([" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "], w)), 1, 3) AS first_words FROM documents WHERE text IS NOT NULL")
 def first_words(spark, d) -> DataFrame:
     t = F.col("text")
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.length(t).alias("n"), (F.col("n_chars") == F.length(t)).alias("agrees"), F.slice(text.words(t), 1, 3).alias("first_words"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.length(t).cast("long").alias("n"), (F.col("n_chars") == F.length(t)).alias("agrees"), F.slice(text.words(t), 1, 3).alias("first_words"))
+
+
+_CAT = "regexp_replace(coalesce(array_to_string(tags, ', '), ''), 'category:', '', 'g')"
+
+
+@query(WITH + f" SELECT id, CASE WHEN entity_type = 'skill' THEN left(concat_ws(chr(10) || chr(10), nullif(name, ''), nullif(description, ''), nullif(category, ''), nullif(left(body_markdown, 1500), '')), 6000) WHEN entity_type = 'plugin' THEN left(coalesce(name, '') || ' | ' || coalesce(description, '') || ' | ' || coalesce(array_to_string(tags, ', '), ''), 200) WHEN entity_type = 'mcp_server' THEN left(coalesce(name, '') || ' | ' || coalesce(description, '') || ' | transport=null | tools: ', 200) END AS input FROM cur")
+def typed_inputs(spark, d) -> DataFrame:
+    from ..functions.entities import EMBEDDING_INPUTS as inputs
+
+    r = current_skills(spark, d, "entity_type", "name", "description", "category", "body_markdown", "tags")
+    c, t = F.col, F.col("entity_type")
+    text_ = F.when(t == "skill", inputs["skill"](c("name"), c("description"), c("category"), c("body_markdown"))).when(t == "plugin", inputs["plugin"](c("name"), c("description"), c("tags"))).when(t == "mcp_server", inputs["mcp_server"](c("name"), c("description"), F.lit(None).cast("string"), F.array().cast("array<string>")))
+    return r.select("id", text_.alias("input"))
+
+
+@query(WITH + " SELECT id, coalesce(slug, '') <> '' AND NOT contains(coalesce(slug, ''), '..') AND NOT starts_with(coalesce(slug, ''), '/') AS valid, repo_pushed_at > coalesce(skill_first_commit_at, '') OR skill_first_commit_at IS NULL AS walk FROM cur WHERE repo_pushed_at IS NOT NULL")
+def record_checks(spark, d) -> DataFrame:
+    from ..functions.entities import needs_walk, valid_slug
+
+    r = current_skills(spark, d, "slug", "repo_pushed_at", "skill_first_commit_at").where("repo_pushed_at is not null")
+    return r.select("id", valid_slug(F.col("slug")).alias("valid"), needs_walk(F.col("skill_first_commit_at"), F.col("repo_pushed_at")).alias("walk"))
+
+
+@query(WITH + ", s AS (SELECT *, row_number() OVER (PARTITION BY split_part(repo_full_name, '/', 1), split_part(name, '-', 1) ORDER BY id) AS p FROM cur WHERE repo_full_name IS NOT NULL) SELECT e.id, r.slug AS redirected FROM s e LEFT JOIN s r ON split_part(e.repo_full_name, '/', 1) = split_part(r.repo_full_name, '/', 1) AND split_part(e.name, '-', 1) = split_part(r.name, '-', 1) AND r.p = 1")
+def redirect_lookup(spark, d) -> DataFrame:
+    from ..operators.dedup import first_per_key
+
+    r = current_skills(spark, d, "slug", "name", "repo_full_name").where("repo_full_name is not null")
+    r = r.select("id", "slug", F.element_at(F.split("repo_full_name", "/"), 1).alias("owner"), F.element_at(F.split("name", "-"), 1).alias("stem"))
+    to = first_per_key(r, ["owner", "stem"], [F.asc("id")]).select("owner", "stem", F.col("slug").alias("redirected"))
+    return r.join(to, ["owner", "stem"], "left").select("id", "redirected")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -36,8 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = getattr(spark, "_sparkloom_dir", None) or tempfile.mkdtemp(prefix="sparkloom-")
-        spark._sparkloom_dir = path
+        path = getattr(spark, "_sparkloom_dir", None)
+        if not path:
+            path = spark._sparkloom_dir = tempfile.mkdtemp(prefix="sparkloom-")
+            atexit.register(shutil.rmtree, path, ignore_errors=True)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(path)
     return path

@@ -121,3 +121,45 @@ def reader(entity_type: str):
 
 for _type in EXTRA:
     READERS[_type] = (lambda t: lambda spark, path: upcast(read_records(spark, path, schema_of(t)), t))(_type)
+
+
+def first_existing(spark: SparkSession, *paths: str | None) -> str:
+    """The first of ``paths`` that exists (null ones are skipped): an override, then the places in order."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        if p and jvm.org.apache.hadoop.fs.Path(p).getFileSystem(conf).exists(jvm.org.apache.hadoop.fs.Path(p)):
+            return p
+    raise FileNotFoundError(", ".join(p for p in paths if p) or "no path given")
+
+
+def synthetic_records(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
+    """``n`` made-up skill records, the same for the same seed: tiers about 5, 25 and 70 per cent, eight categories in turn."""
+    u = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(10_000)) / 10_000.0
+    tier = F.when(u(1) < 0.05, "featured").when(u(1) < 0.30, "solid").otherwise("listed")
+    score = F.when(u(1) < 0.05, 80 + F.floor(u(2) * 21)).when(u(1) < 0.30, 50 + F.floor(u(2) * 30)).otherwise(F.floor(u(2) * 50))
+    repo = F.concat(F.lit("owner"), F.floor(u(3) * F.sqrt(F.lit(n)) + 1).cast("string"), F.lit("/repo"))
+    return spark.range(n).select(F.concat(F.lit("skill:"), repo, F.lit("/s"), "id").alias("id"), F.concat(F.lit("s"), "id").alias("name"), repo.alias("repo_full_name"), F.lit("skill").alias("entity_type"), tier.alias("quality_tier"), score.cast("long").alias("quality_score"), F.floor(u(4) * u(4) * 5000).cast("long").alias("repo_stars"), F.concat(F.lit("category-"), F.col("id") % 8).alias("category"), F.lit(CURRENT_VERSION).alias("schema_version"))
+
+
+def plugins_of(repositories: DataFrame) -> DataFrame:
+    """Plugin records of repositories (repo_full_name, description, manifest map, listings array<struct<path,name>>): those with a manifest or a listing.
+
+    Name and description come from the manifest, else from the repository.
+    """
+    has = (F.coalesce(F.size("manifest"), F.lit(0)) > 0) | (F.coalesce(F.size("listings"), F.lit(0)) > 0)
+    of = lambda k: F.nullif(F.try_element_at("manifest", F.lit(k)), F.lit(""))
+    return repositories.where(F.col("repo_full_name").isNotNull() & has).select(
+        F.concat(F.lit("plugin:"), "repo_full_name").alias("id"), F.lit("plugin").alias("entity_type"), F.coalesce(of("name"), F.element_at(F.split("repo_full_name", "/"), -1)).alias("name"), F.coalesce(of("description"), "description").alias("description"),
+        "repo_full_name", F.coalesce(F.size("listings"), F.lit(0)).alias("listed"),
+    )
+
+
+def servers_of(components: DataFrame) -> DataFrame:
+    """One server record per mcp component of a repository (id, folder, component), see ``explode_components``."""
+    return components.where("folder = 'mcp'").select(F.concat(F.lit("mcp_server:"), "id", F.lit("/"), "component").alias("id"), F.lit("mcp_server").alias("entity_type"), F.regexp_replace("component", r"\.json$", "").alias("name"), F.col("id").alias("repo_full_name"))
+
+
+def pulse_rows(repositories: DataFrame, date: str) -> DataFrame:
+    """Slim snapshot (snapshot_date, repo_full_name, s, f, i, p) of repositories that are neither archived nor forks, each once."""
+    live = repositories.where(~F.coalesce("archived", F.lit(False)) & ~F.coalesce("fork", F.lit(False)) & F.col("repo_full_name").isNotNull())
+    return live.groupBy("repo_full_name").agg(F.max("stars").alias("s"), F.max("forks").alias("f"), F.max("open_issues").alias("i"), F.max("pushed_at").alias("p")).select(F.lit(date).cast("date").alias("snapshot_date"), "repo_full_name", "s", "f", "i", "p")
