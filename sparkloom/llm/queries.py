@@ -44,7 +44,8 @@ def _p2(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     tree = cutoffs.DyadicTree(spark, f"{shared_dir(spark).rstrip('/')}/tree-{uuid.uuid4().hex}")
     tree.add(rows, "entity_type", "quality_score", batch=F.to_date("ingested_at"))
     found = cutoffs.share_cutoffs(tree, rows, _table(spark, sf_dir, "keep_targets"), "entity_type", "quality_score", "target_pct")
-    return rows, found.withColumnRenamed("source", "entity_type")
+    # Written once: the descent would run again for each use below.
+    return rows, written(found.withColumnRenamed("source", "entity_type"), "cutoffs")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
