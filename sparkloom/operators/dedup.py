@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import LANGUAGE_SUFFIX
+from ..runtime import join_by_key
 
 
 def latest_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -55,35 +56,36 @@ def language_variants(df: DataFrame, scope: Column, name: str, score: str, posit
 
 
 def absorb(df: DataFrame, key: str, order: list[Column], fields: list[str], lists: list[str], also: str) -> DataFrame:
-    """One row per key: the winner's row in ``order``, its unknown ``fields`` taken from the next that knows them, ``lists`` united in that
-    order, ``also`` the distinct values of the losers' column that differ from the winner's, sorted. Unknown: null, '' or 'unknown'.
+    """One row per key: the row with the least ``order`` (ascending, nulls first; should be total), its unknown ``fields`` taken from the next
+    that knows them, ``lists`` united in that order, ``also_listed_in`` the other values of column ``also``, sorted, ``merged`` the rows.
 
-    Groups are joined listings of one thing, a few rows each; rows with a null key stay as they are.
+    Unknown: null, '' or 'unknown'. Rows with a null key stay as they are. Everything is pre-aggregated, so a key of any size is
+    never gathered; of lists and of ``also`` only distinct values are collected.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    keyed = df.where(F.col(key).isNotNull())
-    known = lambda c: F.when(~F.col(c).cast("string").isin("", "unknown"), F.col(c))
-    rows = keyed.withColumn("_place", F.row_number().over(w)).withColumn("_size", F.count(F.lit(1)).over(whole))
-    for c in fields:
-        rows = rows.withColumn(f"_{c}", F.first(known(c), ignorenulls=True).over(whole))
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    rows = df.where(F.col(key).isNotNull()).withColumn("_order", place)
+    known = lambda c: F.when(F.col(c).isNotNull() & ~F.col(c).cast("string").isin("", "unknown"), F.struct("_order", F.col(c).alias("v")))
+    rest = [c for c in df.columns if c != key]
+    out = rows.groupBy(key).agg(F.min_by(F.struct(*rest), "_order").alias("_row"), F.count(F.lit(1)).alias("merged"), F.collect_set(also).alias("_also"), *[F.min(known(c))["v"].alias(f"_f_{c}") for c in fields])
+    out = out.select(key, *[F.coalesce(f"_f_{c}", F.col("_row")[c]).alias(c) if c in fields else F.col("_row")[c].alias(c) for c in rest], F.array_sort(F.array_except("_also", F.array(F.col("_row")[also]))).alias("also_listed_in"), "merged")
     for c in lists:
-        rows = rows.withColumn(f"_{c}", F.array_distinct(F.flatten(F.collect_list(F.coalesce(F.col(c), F.array().cast("array<string>"))).over(whole))))
-    rows = rows.withColumn("_also", F.array_sort(F.collect_set(also).over(whole)))
-    out = rows.where("_place = 1")
-    for c in fields:
-        out = out.withColumn(c, F.coalesce(F.col(f"_{c}"), F.col(c)))
-    for c in lists:
-        out = out.withColumn(c, F.col(f"_{c}"))
-    out = out.withColumn("also_listed_in", F.array_except("_also", F.array(F.col(also)))).withColumn("merged", F.col("_size").cast("long"))
+        values = rows.select(key, "_order", F.posexplode(c).alias("_p", "_v")).groupBy(key, "_v").agg(F.min(F.struct("_order", "_p")).alias("_at"))
+        united = values.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_v"))), lambda x: x["_v"]).alias("_u"))
+        out = out.drop(c).join(united, key, "left").withColumn(c, F.coalesce("_u", F.array().cast(df.schema[c].dataType))).drop("_u")
     loose = df.where(F.col(key).isNull()).withColumn("also_listed_in", F.array().cast("array<string>")).withColumn("merged", F.lit(1).cast("long"))
     return out.select(*df.columns, "also_listed_in", "merged").unionByName(loose)
 
 
 def suffix_collisions(df: DataFrame, id_col: str, order: list[Column], suffix: Column) -> DataFrame:
-    """Ids made unique: all but the first row of an id in ``order`` get ``~suffix`` behind."""
-    place = F.row_number().over(Window.partitionBy(id_col).orderBy(*order))
-    return df.withColumn("_place", place).withColumn(id_col, F.when(F.col("_place") > 1, F.concat(F.col(id_col), F.lit("~"), suffix)).otherwise(F.col(id_col))).drop("_place")
+    """Ids made unique: all but the row of an id with the least ``order`` (ascending, should be total) get ``~suffix`` behind.
+
+    An id of any size is counted by pre-aggregation and joined back without gathering its rows.
+    """
+    rows = df.where(F.col(id_col).isNotNull()).withColumn("_order", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+    first = rows.groupBy(id_col).agg(F.min("_order").alias("_first"), F.count(F.lit(1)).alias("n"))
+    out = join_by_key(rows, first.select(id_col, "_first"), first.select(id_col, "n"), id_col)
+    out = out.withColumn(id_col, F.when(F.col("_order") > F.col("_first"), F.concat(F.col(id_col), F.lit("~"), suffix)).otherwise(F.col(id_col)))
+    return out.select(*df.columns).unionByName(df.where(F.col(id_col).isNull()))
 
 
 def changed_rows(new: DataFrame, old: DataFrame, key: str, sha: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import written
+from ..runtime import join_by_key, written
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank", partitions: int | None = None) -> DataFrame:
@@ -56,10 +56,13 @@ def downsample(df: DataFrame, key: list[str], order: list[Column], points: int =
 
 def slugs(df: DataFrame, owner: Column, name: str, repo: str, score: str, id_col: str) -> DataFrame:
     """slug per row: owner/name where that is free, else owner/repo-name for all who share it; ``winner`` marks the one of a shared short
-    slug to which it redirects: greatest score, then shorter repository name, then id."""
+    slug to which it redirects: greatest score, then shorter repository name, then repository, then id.
+
+    A short slug of any size is pre-aggregated and joined back without gathering its rows.
+    """
     rows = df.withColumn("_owner", owner).withColumn("short", F.concat_ws("/", F.col("_owner"), F.col(name)))
-    w = Window.partitionBy("short")
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(w))
-    rows = rows.withColumn("_place", F.row_number().over(w.orderBy(F.desc_nulls_last(score), F.length(repo), F.col(repo), F.col(id_col))))
+    order = F.struct(F.col(score).isNull().alias("a"), (-F.col(score)).alias("b"), F.length(repo).alias("c"), F.col(repo).alias("d"), F.col(id_col).alias("e"))
+    groups = rows.groupBy("short").agg(F.count(F.lit(1)).alias("n"), F.min_by(id_col, order).alias("_winner"))
+    rows = join_by_key(rows, groups.select("short", F.col("n").alias("_n"), "_winner"), groups.select("short", "n"), "short")
     longer = F.concat_ws("/", "_owner", F.concat_ws("-", F.col(repo), F.col(name)))
-    return rows.withColumn("slug", F.when(F.col("_n") > 1, longer).otherwise(F.col("short"))).withColumn("winner", (F.col("_n") > 1) & (F.col("_place") == 1)).drop("_owner", "_n", "_place")
+    return rows.withColumn("slug", F.when(F.col("_n") > 1, longer).otherwise(F.col("short"))).withColumn("winner", (F.col("_n") > 1) & (F.col(id_col) == F.col("_winner"))).drop("_owner", "_n", "_winner")

@@ -57,15 +57,16 @@ _GROUP = "lower(split_part(name, ' ', 1))"
 def entity_merge(spark, d) -> DataFrame:
     r = current_apis(spark, d, "name", "description", "docs_url", "origin", "extra", "access")
     rank = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in PRECEDENCE]), F.col("origin.source")), F.lit(0))
-    r = r.select("id", F.lower(F.element_at(F.split("name", " "), 1)).alias("merge_key"), F.col("origin.source").alias("source"), "description", "docs_url", F.col("access.auth.type").alias("auth"), F.when(rank == 0, len(PRECEDENCE)).otherwise(rank - 1).alias("rank"), F.coalesce("extra.source_modified_at", F.lit("")).alias("modified"), F.col("origin.source_id").alias("source_id"))
-    out = dedup.absorb(r, "merge_key", [F.asc("rank"), F.desc("modified"), F.asc("source_id")], ["description", "docs_url", "auth"], [], "source")
+    r = r.select("id", F.lower(F.element_at(F.split("name", " "), 1)).alias("merge_key"), F.col("origin.source").alias("source"), "description", "docs_url", F.col("access.auth.type").alias("auth"), F.when(rank == 0, len(PRECEDENCE)).otherwise(rank - 1).alias("rank"), F.col("extra.source_modified_at").try_cast("timestamp").alias("modified"), F.col("origin.source_id").alias("source_id"))
+    newest = F.coalesce(-F.unix_micros("modified"), F.lit(2**62))
+    out = dedup.absorb(r, "merge_key", [F.col("rank"), newest, F.col("source_id")], ["description", "docs_url", "auth"], [], "source")
     return out.select("merge_key", "id", "source", "description", "docs_url", "auth", "also_listed_in", "merged")
 
 
 @query(WITH + ", x AS (SELECT lower(name) AS id, origin.source AS s, origin.source_id AS sid FROM listed) SELECT CASE WHEN row_number() OVER (PARTITION BY id ORDER BY s, sid) > 1 THEN id || '~' || s || '-' || sid ELSE id END AS id FROM x")
 def id_collisions(spark, d) -> DataFrame:
     r = current_apis(spark, d, "name", "origin").select(F.lower("name").alias("id"), F.col("origin.source").alias("s"), F.col("origin.source_id").alias("sid"))
-    return dedup.suffix_collisions(r, "id", [F.asc("s"), F.asc("sid")], F.concat_ws("-", "s", "sid")).select("id")
+    return dedup.suffix_collisions(r, "id", [F.col("s"), F.col("sid")], F.concat_ws("-", "s", "sid")).select("id")
 
 
 _KNOWN = lambda c: f"CASE WHEN {c} IS NOT NULL AND {c} NOT IN ('', 'unknown') THEN 1.0 ELSE 0.0 END"
