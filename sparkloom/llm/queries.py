@@ -123,7 +123,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 most similar vectors of every usable vector, however similar, with cosine and place."""
     found = neighbours.similar_vectors(_table(spark, sf_dir, "skill_vectors"), "id", "values", NEIGHBOURS, certainty=0.95)
-    return found.withColumn("cosine", F.round("cosine", 9))
+    return found.withColumn("cosine", F.round("cosine", 6)).withColumn("place", F.col("place").cast("long"))
 
 
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,8 +199,19 @@ _CUTS = (
 _REPO = r"regexp_replace(regexp_replace(lower(repo_full_name), '^\s+|\s+$', '', 'g'), '\.git$', '')"
 _CAP = _CURRENT + f", ranked AS (SELECT id, {_REPO} AS repository, quality_score, row_number() OVER (PARTITION BY {_REPO} ORDER BY quality_score DESC NULLS LAST, id) AS place FROM cur WHERE repo_full_name IS NOT NULL)"
 
+_WORDS = "list_filter(string_split_regex(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+_RUNS = "SELECT DISTINCT {id}, array_to_string(list_slice(w, i, i + {n} - 1), ' ') AS s FROM (SELECT {id}, w, unnest(range(1, len(w) - {n} + 2)) AS i FROM {t})"
+_USABLE = "modal AS (SELECT len(\"values\") AS n FROM skill_vectors WHERE \"values\" IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1), v AS (SELECT id, min(\"values\"::DOUBLE[]) AS v FROM skill_vectors, modal WHERE id IS NOT NULL AND len(\"values\") = n AND NOT list_bool_or(list_transform(\"values\", lambda x: x IS NULL OR isnan(x) OR isinf(x))) AND list_dot_product(\"values\"::DOUBLE[], \"values\"::DOUBLE[]) > 0 GROUP BY 1)"
+
 #: DuckDB's answer to the queries that SQL can express over whole tables.
 ORACLES: dict[str, str] = {
+    "p1_found": f"WITH b AS (SELECT DISTINCT id, {_WORDS.format(c='body_markdown')} AS w FROM skills WHERE id IS NOT NULL AND body_markdown IS NOT NULL), l AS (SELECT id, w FROM b WHERE len(w) >= 20), g AS ({_RUNS.format(id='id', n=3, t='l')}), "
+    "n AS (SELECT id, count(*) AS n FROM g GROUP BY 1), c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2) SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c * 10 >= 6 * (x.n + y.n - c)",
+    "p6_found": f"WITH {_USABLE}, c AS (SELECT a.id AS q, b.id AS i, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN v b ON a.id <> b.id), t AS (SELECT q, i, s FROM c QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, i) <= 5) SELECT DISTINCT least(q, i) AS id_a, greatest(q, i) AS id_b FROM t WHERE s >= 0.86",
+    "p6_neighbours": f"WITH {_USABLE}, c AS (SELECT a.id AS id, b.id AS neighbour, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN v b ON a.id <> b.id) SELECT id, neighbour, round(s, 6) AS cosine, row_number() OVER (PARTITION BY id ORDER BY s DESC, neighbour) AS place FROM c QUALIFY place <= 5",
+    "p7_found": f"WITH d AS (SELECT doc_id, {_WORDS.format(c='text')} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL), e AS (SELECT item_id, {_WORDS.format(c='text')} AS w FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL), x AS ({_RUNS.format(id='doc_id', n=12, t='d')}), y AS ({_RUNS.format(id='item_id', n=12, t='e')}) SELECT DISTINCT item_id, doc_id FROM x JOIN y USING (s)",
+    # The answer does not depend on the tokenizer, so characters stand for tokens here.
+    "p8_found": "WITH d AS (SELECT source, sum(coalesce(length(text), 0)) AS n FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1) SELECT t.source FROM (SELECT source, max(weight) AS weight, max(max_repeats) AS max_repeats FROM mix_targets GROUP BY 1) t LEFT JOIN d USING (source) WHERE coalesce(n, 0) * max_repeats < weight * (SELECT sum(n) FROM d)",
     "p2_found": _CUTS + " SELECT entity_type, cutoff, id FROM cur JOIN cuts USING (entity_type) WHERE quality_score >= cutoff",
     "p2_cutoffs": _CUTS + " SELECT entity_type, target_pct, total AS scored, cutoff, kept, round(kept * 100.0 / total, 3) AS kept_pct FROM cuts",
     "p2_tiers": _CUTS + " SELECT entity_type, coalesce(lower(trim(quality_tier)), '(none)') AS quality_tier, count(*) AS scored, count(*) FILTER (quality_score >= cutoff) AS kept FROM cur JOIN cuts USING (entity_type) WHERE quality_score IS NOT NULL GROUP BY 1, 2",
