@@ -54,10 +54,9 @@ def growth(snapshots: DataFrame, date: str, key: str, value: str, days: int = 7)
 
     Keys that miss either snapshot, or have a null value there, have no row. Repeats of a key on a date count with their greatest value.
     """
-    last = snapshots.agg(F.max(date).alias("last"))
-    dates = snapshots.select(F.col(date).alias("d")).distinct().join(F.broadcast(last))
-    base = dates.agg(F.coalesce(F.max(F.when(F.col("d") <= F.date_sub("last", days), F.col("d"))), F.min(F.when(F.col("d") < F.col("last"), F.col("d")))).alias("base"))
-    both = last.join(base)
-    rows = snapshots.join(F.broadcast(both), (F.col(date) == F.col("last")) | (F.col(date) == F.col("base")))
+    last = snapshots.agg(F.max(date)).scalar()
+    dates = snapshots.select(F.col(date).alias("d")).distinct().withColumn("last", last)
+    base = dates.agg(F.coalesce(F.max(F.when(F.col("d") <= F.date_sub("last", days), F.col("d"))), F.min(F.when(F.col("d") < F.col("last"), F.col("d"))))).scalar()
+    rows = snapshots.withColumn("last", last).withColumn("base", base).where((F.col(date) == F.col("last")) | (F.col(date) == F.col("base")))
     at = rows.groupBy(key).agg(F.max(F.when(F.col(date) == F.col("last"), F.col(value))).alias("now"), F.max(F.when(F.col(date) == F.col("base"), F.col(value))).alias("before"))
     return at.where(F.col("now").isNotNull() & F.col("before").isNotNull() & F.col(key).isNotNull()).withColumn("delta", F.col("now") - F.col("before"))

@@ -456,9 +456,9 @@ def expectations(spark, d) -> DataFrame:
 
     cur = current_skills(spark, d, "quality_score", "quality_tier")
     raw = table(spark, d, "skills")
-    known = raw.agg(F.count(F.lit(1)).alias("raw"), F.count_distinct("id").alias("ids"))
+    known = {"raw": raw.agg(F.count(F.lit(1))).scalar(), "ids": raw.agg(F.count_distinct("id")).scalar()}
     own = cur.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("distinct"), F.count_if(~F.col("quality_score").between(0, 100)).alias("range"), F.count_if(~F.col("quality_tier").isin("featured", "solid", "listed")).alias("tier"))
-    both = own.join(known)
+    both = own.withColumns(known)
     return check(both, {"raw_not_empty": (F.col("raw") == 0).cast("long"), "id_unique": F.col("n") - F.col("distinct"), "score_in_range": F.col("range"), "tier_known": F.col("tier"), "collapse": (F.col("n") < 0.5 * F.col("ids")).cast("long")})
 
 

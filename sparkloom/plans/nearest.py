@@ -29,15 +29,14 @@ _REASON = "CASE WHEN \"values\" IS NULL THEN 'missing' WHEN len(\"values\") <> s
 @query(f"WITH {_MODAL} SELECT id, {_REASON} AS reason, upserted_at FROM skill_vectors, modal")
 def vector_validation(spark, d) -> DataFrame:
     v = table(spark, d, "skill_vectors").select("id", "values", "upserted_at")
-    size = vectors.modal_size(v, "values").select("size")
-    return v.join(F.broadcast(size)).select("id", vectors.invalid_reason(F.col("values"), F.col("size")).alias("reason"), "upserted_at")
+    size = vectors.modal_size(v, "values").select("size").scalar()
+    return v.withColumn("size", size).select("id", vectors.invalid_reason(F.col("values"), F.col("size")).alias("reason"), "upserted_at")
 
 
 @query(f"WITH {_MODAL} SELECT coalesce({_REASON}, 'usable') AS reason, count(*) AS n, floor(count(*) * 1000.0::DOUBLE / sum(count(*)) OVER () + 0.5) / 10 AS pct FROM skill_vectors, modal GROUP BY 1")
 def vector_report(spark, d) -> DataFrame:
     n = vector_validation(spark, d).groupBy(F.coalesce("reason", F.lit("usable")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-    total = n.agg(F.sum("n").alias("t"))
-    return n.join(F.broadcast(total)).select("reason", "n", (F.floor(F.col("n") * 1000.0 / F.col("t") + 0.5) / 10).alias("pct"))
+    return n.withColumn("t", n.agg(F.sum("n")).scalar()).select("reason", "n", (F.floor(F.col("n") * 1000.0 / F.col("t") + 0.5) / 10).alias("pct"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS length, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS first FROM embeddings")
@@ -84,8 +83,8 @@ def near_duplicate_vectors(spark, d) -> DataFrame:
 @query("WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label, round(array_cosine_similarity(embedding::DOUBLE[64], q::DOUBLE[64]), 6) AS score FROM embeddings, q WHERE label <> 2), b AS (SELECT label, arg_max(vec_id, score) AS vec_id, max(score) AS score FROM s GROUP BY 1) SELECT vec_id, label, floor(score * 10000 + 0.5) / 10000 AS score FROM b ORDER BY b.score DESC, vec_id LIMIT 5")
 def semantic_search(spark, d) -> DataFrame:
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    s = e.where("label <> 2").join(F.broadcast(q)).select("vec_id", "label", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    q = e.where("vec_id = 0").select("embedding").scalar()
+    s = e.where("label <> 2").withColumn("q", q).select("vec_id", "label", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
     best = s.groupBy("label").agg(F.max_by("vec_id", "score").alias("vec_id"), F.max("score").alias("score"))
     return best.orderBy(F.desc("score"), "vec_id").limit(5).select("vec_id", "label", (F.floor(F.col("score") * 10000 + 0.5) / 10000).alias("score"))
 
@@ -118,7 +117,7 @@ def page_signals(spark, d) -> DataFrame:
 def jaccard_to_items(spark, d) -> DataFrame:
     long = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: F.length(x) > 6))
     # The evaluation items are a table of fixed size; their words are one row.
-    b = table(spark, d, "eval_items").select(F.explode(long(F.col("text"))).alias("w")).agg(F.collect_set("w").alias("words"))
+    b = table(spark, d, "eval_items").select(F.explode(long(F.col("text"))).alias("w")).agg(F.collect_set("w")).scalar()
     w = table(spark, d, "documents").where("text is not null").select("doc_id", long(F.col("text")).alias("own"))
     share = F.size(F.array_intersect("own", "words")) / F.size(F.array_union("own", "words"))
-    return w.join(F.broadcast(b)).select("doc_id", F.round(F.coalesce(share, F.lit(0.0)), 6).alias("jaccard"))
+    return w.withColumn("words", b).select("doc_id", F.round(F.coalesce(share, F.lit(0.0)), 6).alias("jaccard"))

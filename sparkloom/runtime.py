@@ -62,8 +62,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def hot_keys(counts: DataFrame, key: str, n: str = "n", share: float = HOT_SHARE) -> DataFrame:
     """Keys of ``counts`` (one row per key with its row count ``n``) that hold at least ``share`` of all rows: 1/share rows at most."""
-    total = counts.agg(F.sum(n).alias("_total"))
-    return counts.join(F.broadcast(total), F.col(n) >= F.col("_total") * share).select(key)
+    return counts.where(F.col(n) >= counts.agg(F.sum(n)).scalar() * share).select(key)
 
 
 def join_by_key(rows: DataFrame, per_key: DataFrame, counts: DataFrame, key: str, how: str = "inner") -> DataFrame:
