@@ -133,7 +133,7 @@ SELECT m.lang, m.reading_level, m.a, m.b, m.c, s.sa, s.sb, s.sc FROM means m JOI
 def measured(prose: DataFrame, vocabulary: DataFrame, covered: float = COVERED) -> DataFrame:
     """key, lang, coverage_rank, sentence_rank (median coverage rank of its sentences), sentence_words (median), sentences, words for rows (key, prose) with prose."""
     totals = vocabulary.groupBy("lang").agg(F.sum("n").alias("n"))
-    large = totals.join(F.broadcast(totals.agg(F.sum("n").alias("all"))), F.col("n") >= F.col("all") * LANGUAGE_SHARE).select("lang")
+    large = totals.where(F.col("n") >= totals.agg(F.sum("n")).scalar() * LANGUAGE_SHARE).select("lang")
     # VOCABULARY words of 1/LANGUAGE_SHARE languages at most reach the driver, whatever the corpus.
     rows = vocabulary.join(F.broadcast(large), "lang").select("lang", "word", "rank").toPandas()
     langs = sorted(rows["lang"].unique()) or ["und"]
