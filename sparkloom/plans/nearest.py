@@ -54,9 +54,17 @@ def exact_top3(spark, d) -> DataFrame:
     return near.select(F.col("id").alias("vec_id"), "neighbour", (F.floor(F.round("similarity", 6) * 10000 + 0.5) / 10000).alias("similarity"))
 
 
+#: One setting for ``hashed_top3`` and the recall that vouches for it. The neighbours here are far (cosine 0.3 to 0.5), so buckets are wide.
+HASHED = {"tables": 24, "bits": 4}
+
+
+def _hashed(e: DataFrame) -> DataFrame:
+    return vectors.hashed_neighbours(e, "vec_id", "embedding", 3, **HASHED)
+
+
 def hashed_top3(spark, d) -> DataFrame:
     """Approximate neighbours: rows only; their recall is a test and ``hashed_recall`` below."""
-    near = vectors.hashed_neighbours(table(spark, d, "embeddings"), "vec_id", "embedding", 3)
+    near = _hashed(table(spark, d, "embeddings"))
     return near.select("id", "neighbour", F.round("similarity", 6).alias("similarity"), "place")
 
 
@@ -65,9 +73,10 @@ QUERIES["hashed_top3"] = hashed_top3
 
 @query("SELECT true AS no_wrong_pair, true AS most_found")
 def hashed_recall(spark, d) -> DataFrame:
+    """Of exactly what ``hashed_top3`` returns: the share of all true top 3, and of those above 0.4."""
     e = table(spark, d, "embeddings")
-    r = vectors.recall(vectors.exact_neighbours(e, "vec_id", "embedding", 3), vectors.hashed_neighbours(e, "vec_id", "embedding", 3, tables=24, bits=4), 0.4)
-    return r.select((F.col("wrong") == 0).alias("no_wrong_pair"), (F.col("pair_recall") >= 0.9).alias("most_found"))
+    r = vectors.recall(vectors.exact_neighbours(e, "vec_id", "embedding", 3), _hashed(e), 0.4)
+    return r.select((F.col("wrong") == 0).alias("no_wrong_pair"), (F.least("overlap", "pair_recall") >= 0.9).alias("most_found"))
 
 
 @query(
