@@ -115,12 +115,63 @@ def hashed_neighbours(df: DataFrame, id_col: str, v: str, k: int, tables: int =
     return both.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def near_duplicates(df: DataFrame, id_col: str, v: str, order: list[Column], threshold: float = 0.92, k: int = 64) -> DataFrame:
-    """(id, component, canonical, is_duplicate, novelty): components over neighbours above ``threshold`` among the ``k`` nearest.
+def linked(df: DataFrame, id_col: str, v: str, threshold: float, blocks: int | None = None) -> DataFrame:
+    """(id, neighbour, similarity): the nearest of every row in each block, and links above ``threshold`` that join what all pairs above it join.
+
+    Every pair is looked at. Of the pairs above the threshold in one block product a spanning forest is kept, so a group of any size
+    costs at most one row a vector and product, and components over the result are those over all pairs. Vectors as in
+    :func:`exact_neighbours`.
+    """
+    blocks = blocks or max(1, -(-df.count() // BLOCK_ROWS))
+    kind = df.schema[id_col].dataType.simpleString()
+    x = _blocked(df, id_col, v, blocks)
+    q = x.select("id", "v", F.col("block").alias("by"), F.explode(F.sequence("block", F.lit(blocks - 1))).alias("to"))
+    y = x.select("id", "v", F.col("block").alias("to"), F.explode(F.sequence(F.lit(0), "block")).alias("by"))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "neighbour": [], "similarity": []})
+        norm = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        qs, m = norm(np.stack(a["v"].to_numpy())), norm(np.stack(b["v"].to_numpy()))
+        own, ids, out = a["id"].to_numpy(), b["id"].to_numpy(), []
+        nodes, at = np.unique(np.concatenate([own, ids]), return_inverse=True)
+        left, right, part = at[: len(own)], at[len(own) :], np.arange(len(nodes))
+        best, of = np.full(len(ids), -np.inf), np.zeros(len(ids), dtype=np.int64)
+
+        def keep(r: np.ndarray, c: np.ndarray, s: np.ndarray) -> None:
+            out.append(pd.DataFrame({"id": own[r], "neighbour": ids[c], "similarity": s}))
+
+        for first in range(0, len(own), 512):
+            s = qs[first : first + 512] @ m.T
+            s[own[first : first + 512, None] == ids[None, :]] = -np.inf
+            rows = np.arange(len(s))
+            c = s.argmax(axis=1)
+            ok = np.isfinite(s[rows, c])
+            keep(first + rows[ok], c[ok], s[rows[ok], c[ok]])
+            r, top = s.argmax(axis=0), s.max(axis=0)
+            of, best = np.where(top > best, first + r, of), np.maximum(top, best)
+            for i in np.flatnonzero((s > threshold).any(axis=1)):
+                cols = np.flatnonzero(s[i] > threshold)
+                cols = cols[part[right[cols]] != part[left[first + i]]]
+                if len(cols):
+                    parts, one = np.unique(part[right[cols]], return_index=True)
+                    keep(np.full(len(one), first + i), cols[one], s[i, cols[one]])
+                    to = np.arange(len(nodes))
+                    to[parts] = part[left[first + i]]
+                    part = to[part]
+        c = np.flatnonzero(np.isfinite(best))
+        out.append(pd.DataFrame({"id": ids[c], "neighbour": own[of[c]], "similarity": best[c]}))
+        return pd.concat(out)
+
+    return q.groupBy("by", "to").cogroup(y.groupBy("by", "to")).applyInPandas(meet, f"id {kind}, neighbour {kind}, similarity double")
+
+
+def near_duplicates(df: DataFrame, id_col: str, v: str, order: list[Column], threshold: float = 0.92) -> DataFrame:
+    """(id, component, canonical, is_duplicate, novelty): components over all pairs above ``threshold``.
 
     canonical is the first of a component in ``order`` (then id); novelty is 1 - similarity of the nearest, within 0..1.
     """
-    near = written(exact_neighbours(df, id_col, v, k), "near")
+    near = written(linked(df, id_col, v, threshold), "near")
     parts = connected_components(near.where(F.col("similarity") > threshold).select(F.col("id").alias("a"), F.col("neighbour").alias("b")))
     best = near.groupBy("id").agg(F.max("similarity").alias("top"))
     rows = df.select(F.col(id_col).alias("id"), F.struct(*order, F.col(id_col)).alias("_order")).join(best, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")

@@ -1,6 +1,8 @@
 import os
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sparkloom.operators import vectors
@@ -22,3 +24,40 @@ def test_hashed_top3_finds_the_true_top3(spark):
 def test_hashed_recall_measures_what_hashed_top3_returns(spark, monkeypatch):
     monkeypatch.setattr(nearest, "HASHED", {"tables": 12, "bits": 6})
     assert not entry.queries()["hashed_recall"](spark, SMALL).first()["most_found"]
+
+
+def frame(spark, v):
+    return spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, v array<double>")
+
+
+def two_groups(rng, n):
+    """Two groups of ``n`` near copies; every cosine across is above 0.94 and below those within."""
+    a, b = np.eye(16)[0], np.eye(16)[0] * 0.95 + np.eye(16)[1] * np.sqrt(1 - 0.95**2)
+    return np.concatenate([a + 1e-4 * rng.normal(size=(n, 16)), b + 1e-4 * rng.normal(size=(n, 16))])
+
+
+def test_duplicates_join_beyond_the_nearest(spark):
+    d = vectors.near_duplicates(frame(spark, two_groups(np.random.default_rng(1), 100)), "id", "v", [F.col("id")], 0.92).collect()
+    assert {r["component"] for r in d} == {0} and sum(r["is_duplicate"] for r in d) == 199
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_links_give_the_components_and_nearest_of_all_pairs(spark, blocks):
+    rng = np.random.default_rng(2)
+    v = np.concatenate([two_groups(rng, 70), rng.normal(size=(600, 16)), np.ones((80, 16))])
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    part = np.arange(len(v))
+    while True:
+        low = np.minimum(part, np.where(s > 0.7, part[None, :], len(v)).min(axis=1))
+        if (low == part).all():
+            break
+        part = low
+    near = vectors.linked(frame(spark, v), "id", "v", 0.7, blocks=blocks).cache()
+    got = {r["id"]: r["top"] for r in near.groupBy("id").agg(F.max("similarity").alias("top")).collect()}
+    assert np.allclose([got[i] for i in range(len(v))], s.max(axis=1))
+    e = near.where("similarity > 0.7").select(F.col("id").alias("a"), F.col("neighbour").alias("b"))
+    found = {r["node"]: r["component"] for r in vectors.connected_components(e).collect()}
+    assert [found.get(i, i) for i in range(len(v))] == part.tolist()
+    assert near.count() <= 3 * len(v) * blocks
