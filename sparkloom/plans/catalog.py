@@ -443,6 +443,20 @@ def embedding_inputs(spark, d) -> DataFrame:
     return current_skills(spark, d, "name", "description", "body_markdown").select("id", F.substring(joined, 1, 6000).alias("input"), F.sha2(joined, 256).alias("sha"), text.vector_id(F.col("id")).alias("vector_id"))
 
 
+@query(WITH + " SELECT id, left(concat_ws(chr(10) || chr(10), nullif(name, ''), nullif(description, ''), nullif(category, ''), nullif(left(body_markdown, 1500), '')), 6000) AS input, sha256(coalesce(name, '') || '|' || coalesce(description, '') || '|' || coalesce(category, '') || '|' || coalesce(body_markdown, '')) AS sha, CASE WHEN length(id) <= 64 THEN regexp_replace(id, '[^A-Za-z0-9_-]', '_', 'g') ELSE 'sk_' || left(sha256(id), 40) END AS vector_id FROM cur")
+def embedding_records(spark, d) -> DataFrame:
+    """What is embedded of each record, by the skill builder, and the sha that tells whether it must be embedded again.
+
+    The sha is over the whole body, not over the part that is embedded, so a change anywhere is seen. ``embedding_inputs`` has the
+    first 200 characters of the body only.
+    """
+    from ..functions.entities import EMBEDDING_INPUTS
+
+    fields = ("name", "description", "category", "body_markdown")
+    whole = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in fields])
+    return current_skills(spark, d, *fields).select("id", EMBEDDING_INPUTS["skill"](*map(F.col, fields)).alias("input"), F.sha2(whole, 256).alias("sha"), text.vector_id(F.col("id")).alias("vector_id"))
+
+
 @query(WITH + " SELECT count(*) AS records, count(*) FILTER (NOT coalesce(is_duplicate, false)) AS visible, count(*) FILTER (array_has(coalesce(tags, []), 'category:operations') AND NOT coalesce(is_duplicate, false)) AS operations, count(*) FILTER (entity_type = 'plugin' AND quality_score >= 50) AS good_plugins FROM cur")
 def filtered_counts(spark, d) -> DataFrame:
     r = current_skills(spark, d, "is_duplicate", "tags", "entity_type", "quality_score")
