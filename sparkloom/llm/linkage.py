@@ -111,7 +111,11 @@ def with_provider_words(listings: DataFrame) -> DataFrame:
 
 def candidate_pairs(f: DataFrame) -> DataFrame:
     """(a, b), a < b, of different sources, from all blocking passes: same site and offering; same offering and a provider word where one
-    has no site; neighbours by name within a site (and a salt, so that a site of any size is spread over tasks)."""
+    has no site; same site and a shared word of the name where one has no offering; neighbours by name within a site (and a salt, so
+    that a site of any size is spread over tasks).
+
+    Provider words are no shared words of a name; a name of nothing else is compared with those of its site that have nothing else either.
+    """
 
     def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
         l, r = left.select(F.col("id").alias("l"), F.col("source").alias("ls"), *keys), right.select(F.col("id").alias("r"), F.col("source").alias("rs"), *keys)
@@ -121,6 +125,10 @@ def candidate_pairs(f: DataFrame) -> DataFrame:
     first = joined(placed, placed, ["site", "offering"])
     spoken = f.where("offering is not null").withColumn("word", F.explode("provider_words"))
     second = joined(spoken.where("site is null"), spoken, ["offering", "word"])
+    # The offering passes have no listing without an offering; of a site of any size all that share a word with it are compared.
+    own = F.array_except("name_words", "provider_words")
+    named = f.where("site is not null").withColumn("word", F.explode(F.when(F.size(own) > 0, own).otherwise(F.array(F.lit("")))))
+    bare = joined(named.where("offering is null"), named, ["site", "word"])
     by_name = Window.partitionBy("site", F.pmod(F.xxhash64("name_key"), F.lit(SALTS))).orderBy("name_key", "id")
     near = f.where("site is not null").withColumn("name_key", F.array_join(F.array_sort(F.array_except("name_words", "provider_words")), " "))
     by_id = Window.partitionBy("site", F.pmod(F.xxhash64("id"), F.lit(SALTS))).orderBy("id")
@@ -139,7 +147,7 @@ def candidate_pairs(f: DataFrame) -> DataFrame:
     by_offering = Window.partitionBy("offering", F.pmod(F.xxhash64("id"), F.lit(SALTS))).orderBy(F.xxhash64("id"))
     rows = loose.withColumn("next", F.array(*[F.lead(F.struct("id", "source", "_loose"), k).over(by_offering) for k in range(1, NEIGHBOURS + 1)]))
     fourth = rows.select("id", "source", "_loose", F.explode("next").alias("n")).where("n is not null and n.source <> source and (_loose or n._loose)").select(F.least("id", "n.id").alias("a"), F.greatest("id", "n.id").alias("b"))
-    return first.union(second).union(third).union(fourth).distinct()
+    return first.union(second).union(bare).union(third).union(fourth).distinct()
 
 
 FIELDS = ["provider", "offering", "name", "text"]
