@@ -146,6 +146,13 @@ def first_words(spark, d) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.length(t).cast("long").alias("n"), (F.col("n_chars") == F.length(t)).alias("agrees"), F.slice(text.words(t), 1, 3).alias("first_words"))
 
 
+@query("WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 1 AND NOT array_has([" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "], w)) AS words FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(words) AS n, sha256(array_to_string(words, ' ')) AS words_sha FROM w")
+def all_words(spark, d) -> DataFrame:
+    """Every word of a document, in order, as number and hash; ``first_words`` shows the first three."""
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", text.words(F.col("text")).alias("words"))
+    return t.select("doc_id", F.size("words").cast("long").alias("n"), F.sha2(F.array_join("words", " "), 256).alias("words_sha"))
+
+
 _CAT = "regexp_replace(coalesce(array_to_string(tags, ', '), ''), 'category:', '', 'g')"
 
 
