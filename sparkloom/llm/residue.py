@@ -2,7 +2,7 @@
 
 One grammar per placeholder delimiter, one expression per family of messages. Code is taken out first; a placeholder or message
 that the surrounding words present as a subject (``fields such as {{x}}``, ``reports every 404 Not Found``) is taken out next;
-what is left decides, together with the share of the text that it covers.
+anything that is left decides, however little of the text it covers; ``placeholder_density`` is reported and decides nothing.
 """
 
 from __future__ import annotations
