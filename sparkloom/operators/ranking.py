@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import join_by_key, written
+from ..runtime import join_by_key, merged, written
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank", partitions: int | None = None) -> DataFrame:
@@ -22,6 +22,20 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank", partitio
     return own.join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + F.col("_place")).cast("long")).drop("_range", "_place", "_before")
 
 
+def rank_in_groups(df: DataFrame, group: str, order: list[Column], name: str = "rank") -> DataFrame:
+    """``df`` with a 1-based position within its ``group`` in ``order``, which should be total. Rows with a null group are dropped.
+
+    A group of any size is spread over the range partitions it falls into; each range numbers its own rows, and the sizes of the
+    ranges before (one row per group and range) shift them.
+    """
+    spread = df.where(F.col(group).isNotNull()).repartitionByRange(F.col(group), *order)
+    own = spread.withColumn("_range", F.spark_partition_id())
+    own = written(own.withColumn("_place", F.row_number().over(Window.partitionBy("_range", group).orderBy(*order))), "ranked")
+    sizes = own.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(group, "_range", (F.sum("_n").over(Window.partitionBy(group).orderBy("_range")) - F.col("_n")).alias("_before"))
+    return merged(own, before, [group, "_range"]).withColumn(name, (F.col("_before") + F.col("_place")).cast("long")).drop("_range", "_place", "_before")
+
+
 def percentile_tiers(df: DataFrame, order: list[Column], featured: float = 0.10, solid: float = 0.30, cap: int | None = None) -> DataFrame:
     """``df`` with rank and tier: the first floor(featured * n) rows in ``order`` are featured, the next floor(solid * n) solid, the rest listed.
 

@@ -54,12 +54,40 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a parquet table in the shared folder and return a scan of it."""
+    """Write ``df`` as a parquet table in the shared folder and return a scan of it; the table goes when the session's JVM ends, or with :func:`clear`."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _remember(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _remember(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
+    sc._sparkloom_tables = [*getattr(sc, "_sparkloom_tables", []), path]
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far and give their number; results not yet stored can no longer be computed."""
+    sc = spark.sparkContext
+    paths, sc._sparkloom_tables = getattr(sc, "_sparkloom_tables", []), []
+    for p in paths:
+        where = sc._jvm.org.apache.hadoop.fs.Path(p)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
+
+
+def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A sort-merge join of two sides that both grow with the data.
+
+    Without the hint Spark may broadcast a side whose estimate is small: it scales the size of a compressed file by the share of the
+    columns that are read, so a column of long texts can be estimated far below its size and end up on the driver. Skewed keys
+    are split by the adaptive skew join.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def hot_keys(counts: DataFrame, key: str, n: str = "n", share: float = HOT_SHARE) -> DataFrame:
     """Keys of ``counts`` (one row per key with its row count ``n``) that hold at least ``share`` of all rows: 1/share rows at most."""
     return counts.where(F.col(n) >= counts.agg(F.sum(n)).scalar() * share).select(key)

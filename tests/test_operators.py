@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators import dedup, links, ranking, reports, sessions, vectors
@@ -151,3 +152,18 @@ def test_reports_limits_and_hot_joins(spark):
     assert [r[0] for r in hot_keys(n.where("key is not null"), "key", share=0.1).collect()] == ["hot"]
     per = rows.where("key is not null").select("key", F.length("key").alias("w")).distinct()
     assert join_by_key(rows, per, n, "key").count() == 3000 and join_by_key(rows, per.where("key <> 'hot'"), n, "key", "left").count() == 3001
+
+
+def test_rank_in_groups_equals_a_window(spark):
+    df = spark.range(2000).select((F.col("id") * 37 % 2000).alias("x"), F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 == 9, None).otherwise(F.concat(F.lit("g"), F.col("id") % 5)).alias("g"))
+    got = {(r["g"], r["x"]): r["rank"] for r in ranking.rank_in_groups(df, "g", [F.desc("x")]).collect()}
+    want = {(r["g"], r["x"]): r["rank"] for r in df.where("g is not null").withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("x")))).collect()}
+    assert got == want and ranking.rank_in_groups(df.where("false"), "g", [F.col("x")]).count() == 0
+
+
+def test_written_tables_can_be_cleared(spark):
+    from sparkloom.runtime import clear, written
+
+    clear(spark)
+    written(spark.range(3), "t")
+    assert clear(spark) == 1 and clear(spark) == 0
