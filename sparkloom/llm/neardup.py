@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..runtime import written
+from ..runtime import merged, written
 from .hashing import GOLDEN, WordHashes, flatten, mix, shingle_hashes, spaced_words, word_count
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -117,7 +117,8 @@ def similar_texts(df: DataFrame, id_col: str = "id", text_col: str = "text", shi
     have no class; an id given with several texts belongs to each of them. An empty table gives empty tables.
 
     Shuffles: each text once by class (copies pre-aggregated), ``bands`` keys of 16 bytes per class, the candidate pairs, and
-    the left texts of candidates. Hot bands are split by the adaptive skew join.
+    the left texts of candidates. Every join is a sort-merge join, so no text reaches the driver; hot bands are split by the
+    adaptive skew join.
     """
     norm = spaced_words(F.col(text_col))
     docs = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), norm.alias("norm"))
@@ -130,10 +131,10 @@ def similar_texts(df: DataFrame, id_col: str = "id", text_col: str = "text", shi
     texts = texts.where(word_count(F.col("norm")) >= max(min_words, shingle))
     bands_df = texts.select("k", "norm").mapInArrow(_sketcher(shingle, bands, rows), "band long, k long")
     left, right = bands_df.alias("l"), bands_df.alias("r")
-    candidates = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.k") < F.col("r.k"))).select(F.col("l.k").alias("ka"), F.col("r.k").alias("kb")).distinct()
+    candidates = merged(left, right, (F.col("l.band") == F.col("r.band")) & (F.col("l.k") < F.col("r.k"))).select(F.col("l.k").alias("ka"), F.col("r.k").alias("kb")).distinct()
     a = texts.select(F.col("k").alias("ka"), F.col("norm").alias("norm_a"))
     b = texts.select(F.col("k").alias("kb"), F.col("norm").alias("norm_b"))
-    pairs = candidates.join(a, "ka").join(b, "kb")
+    pairs = merged(merged(candidates, a, "ka"), b, "kb")
     pairs = pairs.select("ka", _second_hash("norm_a").alias("xa"), "kb", _second_hash("norm_b").alias("xb"), "norm_a", "norm_b")
     links = pairs.mapInArrow(_verifier(shingle, threshold), "ka long, xa long, kb long, xb long, agreement double")
     return SimilarTexts(members, links)
@@ -148,10 +149,10 @@ def similar_pairs(found: SimilarTexts) -> DataFrame:
     members = found.members
     a = members.select(F.col("id").alias("i"), F.col("k").alias("ka"), F.col("x").alias("xa"))
     b = members.select(F.col("id").alias("j"), F.col("k").alias("kb"), F.col("x").alias("xb"))
-    linked = found.links.select("ka", "xa", "kb", "xb").join(a, ["ka", "xa"]).join(b, ["kb", "xb"]).where("i <> j")
+    linked = merged(merged(found.links.select("ka", "xa", "kb", "xb"), a, ["ka", "xa"]), b, ["kb", "xb"]).where("i <> j")
     shared = members.groupBy("k", "x").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "x")
-    copies = members.join(shared, ["k", "x"])
-    same = copies.select(F.col("id").alias("i"), "k", "x").join(copies.select(F.col("id").alias("j"), "k", "x"), ["k", "x"]).where("i < j")
+    copies = merged(members, shared, ["k", "x"])
+    same = merged(copies.select(F.col("id").alias("i"), "k", "x"), copies.select(F.col("id").alias("j"), "k", "x"), ["k", "x"]).where("i < j")
     return linked.select("i", "j").union(same.select("i", "j")).select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).distinct()
 
 
@@ -166,14 +167,14 @@ def similar_groups(df: DataFrame, id_col: str, text_col: str, canonical_order: l
     links = written(found.links.select("ka", "xa", "kb", "xb"), "links")
     a = classes.select(F.col("k").alias("ka"), F.col("x").alias("xa"), F.col("class_id").alias("a"))
     b = classes.select(F.col("k").alias("kb"), F.col("x").alias("xb"), F.col("class_id").alias("b"))
-    edges = written(links.join(a, ["ka", "xa"]).join(b, ["kb", "xb"]).select("a", "b"), "edges")
+    edges = written(merged(merged(links, a, ["ka", "xa"]), b, ["kb", "xb"]).select("a", "b"), "edges")
     groups = connected_components(edges)
     degree = edges.select("a").union(edges.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("links")).withColumnRenamed("a", "class_id")
-    member = found.members.join(classes, ["k", "x"]).groupBy("id").agg(F.min("class_id").alias("class_id"))
+    member = merged(found.members, classes, ["k", "x"]).groupBy("id").agg(F.min("class_id").alias("class_id"))
     order = F.struct(*[x for c in canonical_order for x in (c.isNull(), c)], F.col(id_col))
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), order.alias("_order"), canonical.alias("_canonical"))
-    rows = rows.join(member, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-    rows = rows.join(groups.withColumnRenamed("node", "class_id").withColumnRenamed("component", "group_id"), "class_id", "left").join(degree, "class_id", "left")
+    rows = merged(rows, member, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+    rows = merged(merged(rows, groups.withColumnRenamed("node", "class_id").withColumnRenamed("component", "group_id"), "class_id", "left"), degree, "class_id", "left")
     rows = rows.withColumn("group_id", F.coalesce("group_id", "class_id"))
     per_group = rows.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size"), F.min_by("_canonical", "_order").alias("canonical"))
-    return rows.join(per_group, "group_id").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"), "group_id", "group_size", "canonical")
+    return merged(rows, per_group, "group_id").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"), "group_id", "group_size", "canonical")

@@ -67,3 +67,14 @@ def test_sketch_fills_every_coordinate_and_estimates_similarity():
     s = fast_similarity_sketch(e, d, 4, 400)
     assert (s[:3] != np.uint64(2**64 - 1)).all() and (s[3] == np.uint64(2**64 - 1)).all()
     assert abs((s[0] == s[1]).mean() - 75 / 125) < 0.1
+
+
+def test_no_join_of_texts_is_a_broadcast(spark):
+    """Small tables whose estimates are far below the threshold: hints alone must keep texts off the driver."""
+    df = spark.createDataFrame([(i, t, "slug", 1, "n", 2) for i, t in corpus()], SCHEMA)
+    found = similar_texts(df, "id", "body", shingle=3, threshold=0.6, min_words=20)
+    for out in (found.links, similar_pairs(found)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        out.collect()
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
