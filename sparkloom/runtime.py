@@ -55,17 +55,31 @@ def cut(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and return a scan of it; the table goes when the session's JVM ends, or with :func:`clear`."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    _remember(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _remember(spark: SparkSession, path: str) -> None:
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that goes like the tables of :func:`written`."""
+    folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    files, where = _files(spark, folder)
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    sc = spark.sparkContext
+    sc._sparkloom_tables = [*getattr(sc, "_sparkloom_tables", []), folder]
+    return f"{folder}/{name}"
+
+
+def _files(spark: SparkSession, path: str):
     sc = spark.sparkContext
     where = sc._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
-    sc._sparkloom_tables = [*getattr(sc, "_sparkloom_tables", []), path]
+    return where.getFileSystem(sc._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _files(spark, path)
+    return files.exists(where)
 
 
 def clear(spark: SparkSession) -> int:
@@ -73,8 +87,8 @@ def clear(spark: SparkSession) -> int:
     sc = spark.sparkContext
     paths, sc._sparkloom_tables = getattr(sc, "_sparkloom_tables", []), []
     for p in paths:
-        where = sc._jvm.org.apache.hadoop.fs.Path(p)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+        files, where = _files(spark, p)
+        files.delete(where, True)
     return len(paths)
 
 
