@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import bounded_broadcast, written
+from ..runtime import bounded_broadcast, merged, written
 
 TOKENIZER_DIR = "/opt/tokenizers"
-#: Cells that the driver may fit at once; source, language and topic have far fewer combinations than documents.
-MAX_CELLS = 1_000_000
+#: Up to so many cells are fitted on the driver, more of them by the same steps as Spark aggregates.
+DRIVER_CELLS = 100_000
 
 
 def _counter(vocabulary: str, pattern: str):
@@ -64,7 +64,7 @@ def rake(cells: pd.DataFrame, targets: dict[str, dict], ceiling: np.ndarray, tot
 
     def scale(c: str) -> None:
         nonlocal weight
-        for _ in range(60):  # capped cells pass what they cannot take on to the open cells of the same value
+        for _ in range(len(weight) + 1):  # capped cells pass what they cannot take on to the open cells of the same value
             now = np.bincount(codes[c], tokens * weight, minlength=len(goals[c]))
             open_ = weight < ceiling * (1 - 1e-12)
             free = np.bincount(codes[c], tokens * weight * open_, minlength=len(goals[c]))
@@ -87,6 +87,37 @@ def rake(cells: pd.DataFrame, targets: dict[str, dict], ceiling: np.ndarray, tot
     return weight
 
 
+def rake_cells(cells: DataFrame, goals: dict[str, DataFrame], rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
+    """``cells`` (the columns of ``goals``, tokens, ceiling) with ``weight``: what :func:`rake` finds, for any number of cells.
+
+    ``goals`` maps a column to its rows (value under the name of the column, goal in tokens); values without a row are left as they are.
+    Each scaling is one pre-aggregated pass over the cells and a join with one row per value.
+    """
+    columns = list(goals)
+    cells = written(cells.withColumn("weight", F.least(F.lit(1.0), F.col("ceiling"))), "rake")
+    scalings = 2 * cells.count() + 2
+    for _ in range(rounds):
+        cells = cells.withColumn("_start", F.col("weight"))
+        for c in [*columns[1:], columns[0]]:
+            for _ in range(scalings):
+                size = F.col("tokens") * F.col("weight")
+                is_open = F.col("weight") < F.col("ceiling") * (1 - 1e-12)
+                sums = cells.groupBy(c).agg(F.sum(size).alias("_now"), F.sum(F.when(is_open, size).otherwise(0.0)).alias("_free"))
+                down = F.col("_now") > F.col("goal")
+                factor = F.when(down, F.col("goal") / F.col("_now")).when(F.col("_free") > 0, (F.col("goal") - (F.col("_now") - F.col("_free"))) / F.col("_free")).otherwise(1.0)
+                sums = sums.join(goals[c], c).select(c, F.greatest(F.lit(0.0), factor).alias("_factor"), down.alias("_down"))
+                new = F.least(F.when(F.col("_factor").isNotNull() & (F.col("_down") | is_open), F.col("weight") * F.col("_factor")).otherwise(F.col("weight")), F.col("ceiling"))
+                step = written(merged(cells, sums, c, "left").withColumn("_new", new).drop("_factor", "_down"), "rake")
+                moved = step.agg(F.max(F.abs(F.col("_new") - F.col("weight")))).first()[0] or 0.0
+                cells = step.drop("weight").withColumnRenamed("_new", "weight")
+                if moved < tolerance:
+                    break
+        if (cells.agg(F.max(F.abs(F.col("_start") - F.col("weight")))).first()[0] or 0.0) < tolerance:
+            break
+        cells = cells.drop("_start")
+    return cells.drop("_start")
+
+
 class Mixture(NamedTuple):
     """documents: doc, source, tokens, copies. sources: one row per target source with what was aimed at and reached."""
 
@@ -94,7 +125,7 @@ class Mixture(NamedTuple):
     sources: DataFrame
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str = "doc_kind", total_tokens: int | None = None, seed: int = 42, tokenizer_dir: str = TOKENIZER_DIR) -> Mixture:
+def mix_sources(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str = "doc_kind", total_tokens: int | None = None, seed: int = 42, tokenizer_dir: str = TOKENIZER_DIR, driver_cells: int = DRIVER_CELLS) -> Mixture:
     """Draw documents so that each source of ``targets`` (source, weight, max_repeats) has its weight of the total token size.
 
     The total is ``total_tokens``, or the size of all documents that have a source. Weights are raked to the source targets and to the
@@ -104,30 +135,39 @@ def mix_sources(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", tex
     marked ``short``; their missing part is not given to others, so the reached shares show it. Documents without source, id or
     target are left out (they count in the total if they have a source); documents without text have no size and are not drawn. A null weight or
     max_repeats counts as 0; a source named twice in ``targets`` keeps its greatest weight. Repeated documents are drawn as separate ones.
+    ``short`` is read off the fitted weights. Up to ``driver_cells`` cells are fitted on the driver, more by :func:`rake_cells`.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.lower(F.trim(lang)), F.lit("und")).alias("lang"), F.coalesce(F.col(topic).cast("string"), F.lit("none")).alias("topic"), F.col(text).alias("_text")).where("source is not null and doc_id is not null")
     sized = written(count_tokens(rows, "_text", ["doc_id", "source", "lang", "topic"], tokenizer_dir), "tokens")
-    cells = sized.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
-    fit = cells.limit(MAX_CELLS + 1).toPandas()
-    if len(fit) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} cells of source, language and topic")
-    aims = targets.select(F.col("source"), F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight"), F.coalesce(F.col("max_repeats").cast("long"), F.lit(0)).alias("max_repeats")).where("source is not null").groupBy("source").agg(F.max("weight").alias("weight"), F.max("max_repeats").alias("max_repeats")).toPandas()
-    total = float(total_tokens if total_tokens is not None else fit["tokens"].sum())
-    fit = fit.merge(aims, on="source").reset_index(drop=True)
-    share = lambda c: (fit.groupby(c)["tokens"].sum() / max(1, fit["tokens"].sum()) * aims["weight"].sum()).to_dict()
-    marginals = {"source": dict(zip(aims["source"], aims["weight"])), "lang": share("lang"), "topic": share("topic")}
-    fit["factor"] = rake(fit, marginals, fit["max_repeats"].to_numpy(float), total) if len(fit) else []
-    size = fit.groupby("source").agg(tokens=("tokens", "sum"), documents=("documents", "sum"), aimed=("factor", lambda f: float((f * fit.loc[f.index, "tokens"]).sum())))
-    aims = aims.merge(size, how="left", left_on="source", right_index=True).fillna({"tokens": 0, "documents": 0, "aimed": 0.0})
-    aims["short"] = aims["tokens"] * aims["max_repeats"] < aims["weight"] * total * (1 - 1e-12)
+    cells = written(sized.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")), "cells")
+    aims = targets.select(F.col("source"), F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight"), F.coalesce(F.col("max_repeats").cast("long"), F.lit(0)).alias("max_repeats")).where("source is not null").groupBy("source").agg(F.max("weight").alias("weight"), F.max("max_repeats").alias("max_repeats"))
+    total = float(total_tokens if total_tokens is not None else cells.agg(F.sum("tokens")).first()[0] or 0)
+    fit = merged(cells, aims, "source").withColumn("ceiling", F.col("max_repeats").cast("double"))
+    fit = written(fit.drop("max_repeats", "weight"), "fit")
+    # What the targets leave of the total, and the share of each language and topic in it.
+    size = fit.agg(F.sum("tokens")).first()[0] or 0
+    left = aims.agg(F.sum("weight")).first()[0] or 0.0
+    part = lambda c: fit.groupBy(c).agg((F.sum("tokens") / F.lit(float(max(1, size))) * F.lit(left * total)).alias("goal"))
+    goals = {"source": aims.select("source", (F.col("weight") * F.lit(total)).alias("goal")), "lang": part("lang"), "topic": part("topic")}
     spark = docs.sparkSession
-    factors = spark.createDataFrame(fit[["source", "lang", "topic", "factor"]], "source string, lang string, topic string, factor double") if len(fit) else spark.createDataFrame([], "source string, lang string, topic string, factor double")
+    if cells.count() <= driver_cells:
+        own = fit.toPandas()
+        shares = {c: {r[0]: r[1] / max(total, 1e-300) for r in g.collect()} for c, g in goals.items()}
+        own["weight"] = rake(own, shares, own["ceiling"].to_numpy(float), total) if len(own) else []
+        schema = "source string, lang string, topic string, tokens long, factor double"
+        rows = own.rename(columns={"weight": "factor"})[["source", "lang", "topic", "tokens", "factor"]]
+        factors = spark.createDataFrame(rows, schema) if len(own) else spark.createDataFrame([], schema)
+    else:
+        factors = rake_cells(fit, goals).select("source", "lang", "topic", "tokens", F.col("weight").alias("factor"))
+    factors = written(factors, "factors")
     place = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(2**53)) / F.lit(float(2**53))).cast("double")
     copies = (F.floor("factor") + F.when(place < F.col("factor") - F.floor("factor"), 1).otherwise(0)).cast("long")
-    drawn = sized.where("tokens > 0").join(bounded_broadcast(factors), ["source", "lang", "topic"]).select("doc_id", "source", "lang", "topic", "tokens", copies.alias("copies")).where("copies > 0")
+    drawn = sized.where("tokens > 0").join(bounded_broadcast(factors.drop("tokens")), ["source", "lang", "topic"]).select("doc_id", "source", "lang", "topic", "tokens", copies.alias("copies")).where("copies > 0")
     reached = drawn.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("reached_tokens"), F.max("copies").alias("most_copies"))
-    plan = spark.createDataFrame(aims[["source", "weight", "max_repeats", "tokens", "aimed", "short"]].astype({"tokens": "int64"}), "source string, weight double, max_repeats long, tokens long, aimed double, short boolean")
-    sources = plan.join(F.broadcast(reached), "source", "left").select(
-        "source", "weight", "max_repeats", "tokens", (F.col("aimed") / F.lit(max(total, 1.0))).alias("aimed_share"), F.coalesce("reached_tokens", F.lit(0)).alias("reached_tokens"), (F.coalesce("reached_tokens", F.lit(0)) / F.lit(max(total, 1.0))).alias("reached_share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "short"
+    # What the fitted weights give to each source; a source is short where that is below its target.
+    fitted = factors.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("factor")).alias("aimed"))
+    aimed = F.coalesce("aimed", F.lit(0.0))
+    sources = merged(merged(aims, fitted, "source", "left"), reached, "source", "left").select(
+        "source", "weight", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), (aimed / F.lit(max(total, 1.0))).alias("aimed_share"), F.coalesce("reached_tokens", F.lit(0)).alias("reached_tokens"), (F.coalesce("reached_tokens", F.lit(0)) / F.lit(max(total, 1.0))).alias("reached_share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), (aimed < F.col("weight") * F.lit(total) * (1 - 1e-6)).alias("short")
     )
     return Mixture(drawn, sources)

@@ -129,3 +129,34 @@ def test_prose_leaves_out_what_is_none():
     t = "# Heading one two three\n\nFirst sentence is here. Second one\nis here too!\n\n| a | b |\n|---|---|\n- item with [a link](http://x.example/y) in it\n`code` and more words\nhttps://x.example/a\n"
     assert _prose(t).split("\n") == ["first sentence is here", "second one is here too", "item with a link in it code and more words"] or _prose(t).split("\n")[:3] == ["first sentence is here", "second one is here too", "item with a link in it"]
     assert reading.COVERED == 0.7
+
+
+def test_raking_in_spark_equals_raking_on_the_driver(spark):
+    import numpy as np
+    import pandas as pd
+
+    from sparkloom.llm.mixing import rake_cells
+
+    rng = np.random.default_rng(4)
+    cells = pd.DataFrame([(s, l, t, int(rng.integers(50, 900))) for s in "abc" for l in "xyz" for t in "pq"], columns=["source", "lang", "topic", "tokens"])
+    ceiling = cells["source"].map({"a": 1.0, "b": 2.0, "c": 5.0}).to_numpy()
+    total, goals = 9000.0, {"source": {"a": 0.6, "b": 0.25, "c": 0.15}, "lang": {"x": 0.5, "y": 0.3, "z": 0.2}, "topic": {"p": 0.5, "q": 0.5}}
+    want = rake(cells, goals, ceiling, total, rounds=3)
+    tables = {c: spark.createDataFrame([(v, w * total) for v, w in g.items()], f"{c} string, goal double") for c, g in goals.items()}
+    got = rake_cells(spark.createDataFrame(cells.assign(ceiling=ceiling)), tables, rounds=3).toPandas()
+    got = cells.merge(got, on=["source", "lang", "topic"])["weight"].to_numpy()
+    assert np.allclose(got, want, atol=1e-6)
+
+
+@needs_tokenizer
+def test_short_sources_come_from_the_fitted_weights(spark, monkeypatch):
+    import numpy as np
+
+    from sparkloom.llm import mixing
+
+    rows = [(i, "some words here " * (1 + i % 3), "en", "a" if i % 4 else "b", "t") for i in range(80)]
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.6, 2)], "source string, weight double, max_repeats int")
+    short = lambda: {r["source"] for r in mix_sources(docs(spark, rows), targets).sources.where("short").collect()}
+    assert short() == {"b"} == {r["source"] for r in mix_sources(docs(spark, rows), targets, driver_cells=0).sources.where("short").collect()}
+    monkeypatch.setattr(mixing, "rake", lambda cells, *_: np.zeros(len(cells)))
+    assert short() == {"a", "b"}
