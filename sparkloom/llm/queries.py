@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import bounded_broadcast, shared_dir, written
+from ..runtime import bounded_broadcast, scratch, written
 from . import capping, cutoffs, leakage, linkage, mixing, neardup, neighbours, reading, residue
 
 
@@ -41,7 +40,7 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _p2(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = written(current_rows(_table(spark, sf_dir, "skills"), "entity_type", "quality_score", "quality_tier", "ingested_at"), "p2")
-    tree = cutoffs.DyadicTree(spark, f"{shared_dir(spark).rstrip('/')}/tree-{uuid.uuid4().hex}")
+    tree = cutoffs.DyadicTree(spark, scratch(spark, "tree"))
     tree.add(rows, "entity_type", "quality_score", batch=F.to_date("ingested_at"))
     found = cutoffs.share_cutoffs(tree, rows, _table(spark, sf_dir, "keep_targets"), "entity_type", "quality_score", "target_pct")
     # Written once: the descent would run again for each use below.
@@ -61,6 +60,19 @@ def p2_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("entity_type", "target_pct", F.col("total").alias("scored"), "cutoff", "kept", F.round(F.col("kept") * 100.0 / F.col("total"), 3).alias("kept_pct"))
 
 
+def p2_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cutoffs as in ``p2_cutoffs``, from deliveries that reach one stored tree in two batches by their time of ingestion:
+    the later batch replaces states of the earlier one, and late older states change nothing."""
+    rows = _table(spark, sf_dir, "skills").select("id", F.col("entity_type").alias("source"), F.col("quality_score").alias("score"), F.struct("scraped_at", "row_id").alias("order"), "ingested_at")
+    middle = rows.agg(F.percentile_approx(F.col("ingested_at").cast("double"), 0.5)).first()[0] or 0.0
+    early = F.coalesce(F.col("ingested_at").cast("double") <= F.lit(middle), F.lit(True))
+    stored = cutoffs.StoredCatalog(spark, scratch(spark, "catalog"))
+    for batch in (rows.where(early), rows.where(~early)):
+        stored.add(batch.drop("ingested_at"))
+    found = cutoffs.share_cutoffs(stored.tree, stored.current(), _table(spark, sf_dir, "keep_targets").withColumnRenamed("entity_type", "source"), "source", "score", "target_pct")
+    return found.select(F.col("source").alias("entity_type"), "target_pct", F.col("total").alias("scored"), "cutoff", "kept")
+
+
 def p2_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the cutoffs compare with quality_tier: scored and kept records of each entity_type and tier as given."""
     rows, found = _p2(spark, sf_dir)
@@ -171,6 +183,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_cutoffs": p2_cutoffs,
+    "p2_batches": p2_batches,
     "p2_tiers": p2_tiers,
     "p3_found": p3_found,
     "p3_links": p3_links,
@@ -214,6 +227,7 @@ ORACLES: dict[str, str] = {
     "p8_found": "WITH d AS (SELECT source, sum(coalesce(length(text), 0)) AS n FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1) SELECT t.source FROM (SELECT source, max(weight) AS weight, max(max_repeats) AS max_repeats FROM mix_targets GROUP BY 1) t LEFT JOIN d USING (source) WHERE coalesce(n, 0) * max_repeats < weight * (SELECT sum(n) FROM d)",
     "p2_found": _CUTS + " SELECT entity_type, cutoff, id FROM cur JOIN cuts USING (entity_type) WHERE quality_score >= cutoff",
     "p2_cutoffs": _CUTS + " SELECT entity_type, target_pct, total AS scored, cutoff, kept, round(kept * 100.0 / total, 3) AS kept_pct FROM cuts",
+    "p2_batches": _CUTS + " SELECT entity_type, target_pct, total AS scored, cutoff, kept FROM cuts",
     "p2_tiers": _CUTS + " SELECT entity_type, coalesce(lower(trim(quality_tier)), '(none)') AS quality_tier, count(*) AS scored, count(*) FILTER (quality_score >= cutoff) AS kept FROM cur JOIN cuts USING (entity_type) WHERE quality_score IS NOT NULL GROUP BY 1, 2",
     "p5_found": _CAP + f" SELECT id FROM ranked WHERE place > {REPOSITORY_CAP}",
     "p5_catalog": _CAP + f" SELECT id, repository, quality_score FROM ranked WHERE place <= {REPOSITORY_CAP}",

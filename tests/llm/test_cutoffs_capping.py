@@ -80,3 +80,19 @@ def test_cap_by_share_none_and_empty(spark):
     assert empty.kept.count() == empty.left_out.count() == 0
     with pytest.raises(ValueError):
         cap_per_contributor(df, F.col("kind"), F.col("score"))
+
+
+def test_stored_catalog_takes_back_replaced_states(spark):
+    from sparkloom.llm.cutoffs import StoredCatalog
+    from sparkloom.runtime import scratch
+
+    schema = "id string, source string, score long, order long"
+    path = scratch(spark, "catalog")
+    StoredCatalog(spark, path).add(spark.createDataFrame([("a", "s", 10, 1), ("b", "s", 20, 1), ("c", "t", 5, 3), ("d", "s", None, 1), (None, "s", 1, 1), ("a", "s", 99, 0)], schema))
+    stored = StoredCatalog(spark, path)
+    assert stored.batches == 1
+    stored.add(spark.createDataFrame([("a", "t", 30, 2), ("c", "t", 77, 2), ("d", "s", 7, 2), ("b", "s", None, 9)], schema))
+    assert {(r["id"], r["source"], r["score"]) for r in stored.current().collect()} == {("a", "t", 30), ("b", "s", None), ("c", "t", 5), ("d", "s", 7)}
+    targets = spark.createDataFrame([("s", 100), ("t", 50)], "source string, target_pct long")
+    got = {r["source"]: (r["total"], r["cutoff"], r["kept"]) for r in share_cutoffs(stored.tree, stored.current(), targets, "source", "score", "target_pct").collect()}
+    assert got == {"s": (1, 7, 1), "t": (2, 30, 1)}
