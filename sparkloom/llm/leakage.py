@@ -3,6 +3,9 @@
 Spaced seeds: a mask over a window of words ignores some of its positions. Every window of an item and of a training text is hashed
 under each mask; equal hashes are hits, and around a hit the two word sequences are laid on each other and compared word by word,
 so that substituted words neither hide a hit nor end an overlap.
+
+The hashes of both sides meet in a join. So that the windows of the corpus need not be shuffled for it, a filter of bounded size over
+the hashes of the items goes to every task first; only windows that pass it leave their task.
 """
 
 from __future__ import annotations
@@ -13,15 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import bounded_broadcast, merged, written
 from .hashing import GOLDEN, WORD, WordHashes, mix
 
 #: Fixed masks over windows of twelve words; 0 marks an ignored position.
 MASKS = ("110110101011", "101101110011", "111001011101")
-#: Items are matched in blocks of at most so many words, each block one pass over the training texts.
-BLOCK_WORDS = 1_000_000
+#: Bits of the filter for each window of the items, and bits in all at most (32 MB); a fuller filter lets more pass to the join.
+WINDOW_BITS, FILTER_BITS = 256, 2**28
 
 _INLINE = re.compile(r"</?(?:b|i|u|s|em|strong|span|code|a|mark|small|sub|sup|font|tt|kbd|ins|del|abbr|q)(?:\s[^<>]*)?/?>", re.I)
 _TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.S)
@@ -71,26 +76,86 @@ def seed_hashes(words: np.ndarray, sizes: np.ndarray, mask: str) -> tuple[np.nda
     return h, at
 
 
-class _Items:
-    """The item block that a pass carries to every task: BLOCK_WORDS words at most, and one item at least."""
-
-    def __init__(self, ids: list[int], texts: list[str], masks: tuple[str, ...]):
-        hashes, self.ids, words = WordHashes(), [], []
-        for i, t in zip(ids, texts):
-            for v in variants(t):
-                if v:
-                    self.ids.append(i)
-                    words.append(hashes.array(v))
-        self.sizes = np.array([len(w) for w in words], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.words = np.concatenate(words) if words else np.empty(0, np.uint64)
-        owner = np.repeat(np.arange(len(words)), self.sizes)
-        found = [seed_hashes(self.words, self.sizes, m) for m in masks]
-        h = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.uint64)
-        at = np.concatenate([f[1] for f in found]) if found else np.empty(0, np.int64)
-        order = np.argsort(h, kind="stable")
-        self.hash, self.at = h[order], at[order]
-        self.owner = owner[self.at] if len(self.at) else np.empty(0, np.int64)
+def _spelled(batch: pa.RecordBatch, hashes: WordHashes, least: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Of rows (id, text): id and size of every word sequence of ``least`` words or more, and their words one after the other."""
+    texts = [(i, v) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for v in variants(t) if len(v) >= least]
+    return [i for i, _ in texts], np.array([len(v) for _, v in texts], np.int64), hashes.array([w for _, v in texts for w in v])
+
+
+_SPELLED = "id long, x long, n int, words binary"
+
+
+def _spell(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            ids, sizes, words = _spelled(batch, hashes, least)
+            raw = [w.tobytes() for w in np.split(words, np.cumsum(sizes)[:-1])] if ids else []
+            x = np.array([xxhash.xxh3_64_intdigest(r) for r in raw], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(x), pa.array(sizes, pa.int32()), pa.array(raw, pa.binary())], names=["id", "x", "n", "words"])
+
+    return run
+
+
+def _seeds(masks: tuple[str, ...]):
+    """(hash, id, x, n, at) of every window of rows ``_SPELLED``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(2).to_numpy().astype(np.int64)
+            words = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64)
+            starts = np.cumsum(sizes) - sizes
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            found = [seed_hashes(words, sizes, m) for m in masks]
+            h, at = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            own = text[at] if len(at) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *[batch.column(k).take(pa.array(own)) for k in range(3)], pa.array((at - starts[own]).astype(np.int32))], names=["hash", "id", "x", "n", "at"])
+
+    return run
+
+
+def _touched(shared, masks: tuple[str, ...]):
+    """Of training texts (id, text) those with windows that pass the filter: ``_SPELLED`` and the hashes and places of these windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: np.ndarray = shared.value
+        top = np.uint64(len(bits) * 8 - 1)
+        hashes = WordHashes()
+        passes = lambda p: (bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1
+        for batch in batches:
+            ids, sizes, words = _spelled(batch, hashes, len(masks[0]))
+            ends = np.cumsum(sizes)
+            h, at = [], []
+            for mask in masks:
+                hash_, place = seed_hashes(words, sizes, mask)
+                first = np.flatnonzero(passes(hash_ & top))
+                first = first[passes((hash_[first] >> np.uint64(32)) & top) == 1]
+                h.append(hash_[first])
+                at.append(place[first])
+            h, at = np.concatenate(h), np.concatenate(at)
+            order = np.argsort(at, kind="stable")
+            h, at = h[order], at[order]
+            own = np.searchsorted(ends, at, side="right")
+            hit, count = np.unique(own, return_counts=True)
+            cut = np.cumsum(count)[:-1]
+            raw = [words[ends[d] - sizes[d] : ends[d]].tobytes() for d in hit]
+            starts = (ends - sizes)[own] if len(own) else own
+            lists = [pa.array(np.split(v, cut) if len(hit) else [], pa.list_(t)) for v, t in ((h.view(np.int64), pa.int64()), ((at - starts).astype(np.int32), pa.int32()))]
+            x = np.array([xxhash.xxh3_64_intdigest(r) for r in raw], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d in hit], pa.int64()), pa.array(x), pa.array(sizes[hit], pa.int32()), pa.array(raw, pa.binary()), *lists], names=["id", "x", "n", "words", "hash", "at"])
+
+    return run
+
+
+def window_filter(seeds: DataFrame, bits: int) -> np.ndarray:
+    """Bytes of a filter of ``bits`` bits (a power of two) in which each hash of ``seeds`` has set two. Pre-aggregated by blocks of 4 KB; only they reach the driver."""
+    places = seeds.select(F.explode(F.array(F.col("hash").bitwiseAND(bits - 1), F.shiftrightunsigned("hash", 32).bitwiseAND(bits - 1))).alias("p")).select((F.col("p") + 1).alias("p"))
+    blocks = places.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("block"))
+    out = np.zeros(bits // 8, np.uint8)
+    for row in blocks.toLocalIterator():
+        block = np.frombuffer(row["block"], np.uint8)
+        out[(row["b"] - 1) * len(block) :][: len(block)] = block[: bits // 8]
+    return out
 
 
 def _stretches(equal: np.ndarray, hits: list[int], gap: int) -> Iterator[tuple[int, int]]:
@@ -107,40 +172,20 @@ def _longest(equal: np.ndarray) -> int:
     return int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
 
 
-def _matcher(shared, masks: tuple[str, ...], gap: int, min_words: int):
-    span = len(masks[0])
+def _verifier(gap: int, min_words: int):
+    """Overlaps of rows (item_id, doc_id, item_n, from, hits, doc_words, item_words): the parts that lie on each other, hits counted in the document, which the part enters at ``from``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: _Items = shared.value
-        hashes = WordHashes()
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
-            texts = [(i, v) for i, t in zip(ids, batch.column(1).to_pylist()) for v in variants(t) if len(v) >= span]
-            sizes = np.array([len(v) for _, v in texts], np.int64)
-            words = hashes.array([w for _, v in texts for w in v])
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            diagonals: dict[tuple[int, int, int], list[int]] = {}
-            for mask in masks:
-                h, at = seed_hashes(words, sizes, mask)
-                lo = np.searchsorted(items.hash, h)
-                hit = np.flatnonzero(items.hash[np.minimum(lo, len(items.hash) - 1)] == h) if len(items.hash) else ()
-                for x in hit:
-                    p, j = int(at[x]), int(lo[x])
-                    d = int(np.searchsorted(starts, p, side="right")) - 1
-                    while j < len(items.hash) and items.hash[j] == h[x]:
-                        # Position in the text minus position in the item is the same along a diagonal.
-                        diagonals.setdefault((d, int(items.owner[j]), p - int(items.at[j])), []).append(p)
-                        j += 1
-            for (d, o, shift), hits in diagonals.items():
-                a, b = max(int(starts[d]), int(items.starts[o]) + shift), min(int(starts[d + 1]), int(items.starts[o + 1]) + shift)
-                equal = words[a:b] == items.words[a - shift : b - shift]
+            rows = []
+            for item, doc, n_item, first, hits, a, b in zip(*[c.to_pylist() for c in batch.columns]):
+                equal = np.frombuffer(a, np.uint64) == np.frombuffer(b, np.uint64)
                 if equal.any():
-                    for s, e in _stretches(equal, [p - a for p in hits], gap):
+                    for s, e in _stretches(equal, [p - first for p in sorted(hits)], gap):
                         if e - s >= min_words:
                             n = int(equal[s:e].sum())
-                            rows.append((items.ids[o], texts[d][0], e - s, n, _longest(equal[s:e]), n / float(items.sizes[o])))
-            rows = list(dict.fromkeys(rows))
-            cols = list(zip(*rows)) if rows else [[]] * 6
+                            rows.append((item, doc, e - s, n, _longest(equal[s:e]), n / float(n_item)))
+            cols = list(zip(*dict.fromkeys(rows))) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["item_id", "doc_id", "span", "matched", "run", "item_share"])
 
     return run
@@ -155,27 +200,29 @@ def leaked_passages(items: DataFrame, docs: DataFrame, item_id: str = "item_id",
     do not matter: texts are compared as written and without markup. Ids are integers. Null ids and texts, and texts of fewer
     words than a mask spans, match nothing; equal documents each get their rows. Empty tables give no rows.
 
-    The held-out items are the stated query set: they go through the corpus in blocks of BLOCK_WORDS words, however many there are,
-    and the corpus is neither shuffled nor collected.
+    Items and corpus may have any size: the driver sees the filter only (see :func:`window_filter`), the corpus is read once, and of it
+    only texts with a window that passes the filter are written and joined, by hash, with the windows of the items. A window that
+    many items and texts share costs one row per pair, text and diagonal; what is compared is cut to the size of the item.
     """
     spark = docs.sparkSession
-    texts = docs.where(F.col(doc_id).isNotNull() & F.col(doc_text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text"))
-    block, size, parts = [], 0, []
-
-    def flush() -> None:
-        shared = spark.sparkContext.broadcast(_Items([i for i, _ in block], [t for _, t in block], masks))
-        parts.append(texts.mapInArrow(_matcher(shared, masks, gap, min_words), "item_id long, doc_id long, span long, matched long, run long, item_share double"))
-
-    for row in items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long"), item_text).toLocalIterator():
-        block.append((row[0], row[1]))
-        size += len(WORD.findall(row[1]))
-        if size >= BLOCK_WORDS:
-            flush()
-            block, size = [], 0
-    if block or not parts:
-        flush()
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    own = lambda df, i, t: df.where(F.col(i).isNotNull() & F.col(t).isNotNull()).select(F.col(i).cast("long").alias("id"), F.col(t).alias("text"))
+    spelled = written(own(items, item_id, item_text).mapInArrow(_spell(len(masks[0])), _SPELLED).dropDuplicates(["id", "x"]), "items")
+    seeds = written(spelled.mapInArrow(_seeds(masks), "hash long, id long, x long, n int, at int"), "seeds")
+    bits = 2 ** min(FILTER_BITS.bit_length() - 1, max(20, (seeds.count() * WINDOW_BITS).bit_length()))
+    shared = spark.sparkContext.broadcast(window_filter(seeds, bits))
+    touched = written(own(docs, doc_id, doc_text).mapInArrow(_touched(shared, masks), f"{_SPELLED}, hash array<long>, at array<int>"), "touched")
+    hits = touched.select(F.col("id").alias("doc_id"), F.col("x").alias("dx"), F.col("n").alias("doc_n"), F.explode(F.arrays_zip("hash", "at")).alias("h")).select("doc_id", "dx", "doc_n", "h.hash", F.col("h.at").alias("doc_at"))
+    asked = seeds.select("hash", F.col("id").alias("item_id"), F.col("x").alias("ix"), F.col("n").alias("item_n"), F.col("at").alias("item_at"))
+    small = bounded_broadcast(asked)
+    met = hits.join(small, "hash") if small is not asked else merged(hits, asked, "hash")
+    # Place in the text minus place in the item is the same along a diagonal.
+    diagonals = met.groupBy("doc_id", "dx", "doc_n", "item_id", "ix", "item_n", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(F.collect_set("doc_at").alias("hits"))
+    begin, end = F.greatest(F.lit(0), F.col("shift")), F.least(F.col("doc_n"), F.col("item_n") + F.col("shift"))
+    diagonals = diagonals.withColumn("begin", begin).withColumn("size", (end - F.col("begin")) * 8)
+    texts = touched.select(F.col("id").alias("doc_id"), F.col("x").alias("dx"), F.col("words").alias("dw")).dropDuplicates(["doc_id", "dx"])
+    laid = merged(diagonals, texts, ["doc_id", "dx"]).withColumn("dw", F.substring("dw", F.col("begin") * 8 + 1, F.col("size")))
+    laid = merged(laid, spelled.select(F.col("id").alias("item_id"), F.col("x").alias("ix"), F.col("words").alias("iw")), ["item_id", "ix"])
+    laid = laid.select("item_id", "doc_id", "item_n", "begin", "hits", "dw", F.substring("iw", (F.col("begin") - F.col("shift")) * 8 + 1, F.col("size")).alias("iw"))
+    found = laid.mapInArrow(_verifier(gap, min_words), "item_id long, doc_id long, span long, matched long, run long, item_share double")
     best = found.groupBy("item_id", "doc_id").agg(F.max("run").alias("run"), F.max(F.struct("matched", "span", "item_share")).alias("m"))
     return best.select("item_id", "doc_id", "run", "m.matched", "m.span", (F.col("m.span") - F.col("m.matched")).alias("substituted"), "m.item_share")
