@@ -62,7 +62,8 @@ def test_markup_does_not_matter():
 
 
 def test_leak_blocks_and_empty_tables(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "BLOCK_WORDS", 15)
+    monkeypatch.setattr(leakage, "FILTER_BITS", 2**15)
+    monkeypatch.setattr(leakage, "WINDOW_BITS", 1)
     w = [" ".join(f"b{k}_{i}".replace("_", "x") for i in range(14)) for k in range(4)]
     items = spark.createDataFrame(list(enumerate(w)), "item_id long, text string")
     d = docs(spark, [(k, t, None, None, None) for k, t in enumerate(w)])
@@ -160,3 +161,52 @@ def test_short_sources_come_from_the_fitted_weights(spark, monkeypatch):
     assert short() == {"b"} == {r["source"] for r in mix_sources(docs(spark, rows), targets, driver_cells=0).sources.where("short").collect()}
     monkeypatch.setattr(mixing, "rake", lambda cells, *_: np.zeros(len(cells)))
     assert short() == {"a", "b"}
+
+
+def test_a_full_filter_and_shared_windows_lose_nothing(spark, monkeypatch):
+    """Many items share one passage, the filter is full (everything passes), and texts say the same words over and over."""
+    from sparkloom.llm.leakage import window_filter
+
+    monkeypatch.setattr(leakage, "window_filter", lambda seeds, bits: window_filter(seeds, bits) | 255)
+    shared = " ".join(f"s{i}x" for i in range(20))
+    items = spark.createDataFrame([(i, f"{shared} own{i}x tail") for i in range(40)] + [(50, "la " * 30)], "item_id long, text string")
+    d = docs(spark, [(1, "before " + shared + " after", None, None, None), (2, "la " * 200, None, None, None), (3, "other " * 5 + " ".join(f"t{i}x" for i in range(40)), None, None, None), (1, "before " + shared, None, None, None)])
+    rows = leaked_passages(items, d).collect()
+    assert {(r["item_id"], r["doc_id"]) for r in rows} == {(i, 1) for i in range(40)} | {(50, 2)} and len(rows) == 41
+    assert {r["run"] for r in rows if r["doc_id"] == 1} == {20} and {r["run"] for r in rows if r["doc_id"] == 2} == {30}
+
+
+def brute_measures(texts, covered=0.7):
+    """coverage and sentence ranks from the definition, one language."""
+    import math
+    from collections import Counter
+
+    counts = Counter(w for t in texts for w in t.replace("\n", " ").split())
+    rank = {w: i + 1 for i, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0])))}
+    cover = lambda ws: sorted(rank[w] for w in ws)[math.ceil(covered * len(ws)) - 1]
+    out = []
+    for t in texts:
+        each = sorted(cover(s.split()) for s in t.split("\n"))
+        out.append((cover(t.replace("\n", " ").split()), (each[(len(each) - 1) // 2] + each[len(each) // 2]) / 2))
+    return out
+
+
+def test_ranks_beyond_the_head_are_exact(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(chr(97 + rng.randrange(26)) for _ in range(6))
+    texts = ["\n".join(" ".join(word() if rng.random() < rare else rng.choice(["the", "of", "and", "map", "box"]) for _ in range(rng.randrange(3, 12))) for _ in range(rng.randrange(1, 6))) for rare in [0.05, 0.2, 0.5, 0.9] * 40]
+    monkeypatch.setattr(reading, "HEAD_WORDS", 20)
+    prose = spark.createDataFrame([(str(i), "en", t) for i, t in enumerate(texts)] * 2, "key string, lang string, prose string")
+    vocabulary = reading.Vocabulary(reading.ranked_vocabulary(prose.dropDuplicates(["key"])))
+    assert vocabulary.longest > vocabulary.head == 20
+    got = {(int(r["key"]), r["coverage_rank"], r["sentence_rank"]) for r in reading.measured(prose, vocabulary).collect()}
+    assert got == {(i, *m) for i, m in enumerate(brute_measures(texts))}
+
+
+def test_small_languages_have_a_vocabulary_and_wrong_labels_do_not_make_one(spark):
+    rng = random.Random(6)
+    say = lambda c, n: " ".join(f"{c}{'abcdefghij'[rng.randrange(10)]}{'abcdefghij'[min(9, int(rng.expovariate(0.4)))]}" for _ in range(n))
+    rows = [(str(i), "en", say("e", 40)) for i in range(398)] + [("s1", "sm", say("s", 40)), ("s2", "sm", say("s", 40)), ("wrong", "zz", say("e", 40)), ("none", None, say("s", 20))]
+    prose = spark.createDataFrame(rows, "key string, lang string, prose string")
+    out = {r["key"]: r["lang"] for r in reading.measured(prose, reading.Vocabulary(reading.ranked_vocabulary(prose))).collect()}
+    assert out["s1"] == out["s2"] == out["none"] == "sm" and out["wrong"] == "en" and out["7"] == "en"
