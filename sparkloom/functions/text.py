@@ -200,6 +200,14 @@ def vector_id(record_id: Column) -> Column:
     return F.when(F.length(record_id) <= 64, F.regexp_replace(record_id, r"[^A-Za-z0-9_-]", "_")).otherwise(F.concat(F.lit("sk_"), F.substring(F.sha2(record_id, 256), 1, 40)))
 
 
+def record_page(name: Column, description: Column, repository: Column, score: Column, tags: Column) -> Column:
+    """A record as a Markdown page: title, description where there is one, repository, score, tags in order."""
+    line = lambda k, v: F.concat(F.lit(f"- {k}: "), v, F.lit("\n"))
+    about = F.when(description.isNull(), "").otherwise(F.concat(description, F.lit("\n\n")))
+    marks = F.when(F.size(tags) > 0, line("tags", F.array_join(F.array_sort(tags), ", "))).otherwise("")
+    return F.concat(F.lit("# "), F.coalesce(name, F.lit("untitled")), F.lit("\n\n"), about, line("repository", F.coalesce(repository, F.lit("unknown"))), line("score", F.coalesce(score.cast("string"), F.lit("-"))), marks)
+
+
 @F.pandas_udf(StringType())
 def fold_accents(text: pd.Series) -> pd.Series:
     """``text`` decomposed and without combining marks; there is no such function in the JVM."""

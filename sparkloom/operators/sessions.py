@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import ASSET_PATHS, ENDPOINT_PATHS, path_like
 from ..functions.scoring import percent, session_score
+from ..runtime import merged, written
 
 
 def sessions(log: DataFrame) -> DataFrame:
@@ -56,3 +57,25 @@ def over_limit(log: DataFrame, key: list[str], at: str, seconds: int, limit: int
 def gap_sessions(log: DataFrame, key: str, at: str, gap: str) -> DataFrame:
     """(key, start, end, n): runs of rows that lie less than ``gap`` apart."""
     return log.groupBy(key, F.session_window(F.col(at).cast("timestamp"), gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col(at).cast("timestamp")).alias("last")).select(key, F.col("w.start").alias("start"), "last", "n")
+
+
+def cache_fetches(log: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
+    """(key, fetches, hits) of a cache whose entries live ``seconds`` from the fetch that made them: a request is a hit while the entry
+    lives, else it fetches anew. Rows without key or time are left out.
+
+    Each round finds the next fetch of all keys at once, as a pre-aggregated minimum; there are as many rounds as lifetimes that the log
+    spans at most, however many requests a key has.
+    """
+    rows = written(log.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("at")), "requests")
+    last = written(rows.groupBy("key").agg(F.min("at").alias("from"), F.lit(1).cast("long").alias("fetches"), F.count(F.lit(1)).alias("n")), "fetches")
+    done = []
+    while not last.isEmpty():
+        ends = last.select("key", (F.col("from") + F.lit(seconds * 1_000_000)).alias("end"))
+        later = merged(rows, ends, "key").where(F.col("at") >= F.col("end")).groupBy("key").agg(F.min("at").alias("next"))
+        step = written(merged(last, later, "key", "left"), "fetches")
+        done.append(step.where("next is null").select("key", "fetches", "n"))
+        last = step.where("next is not null").select("key", F.col("next").alias("from"), (F.col("fetches") + 1).alias("fetches"), "n")
+    out = done[0] if done else last.select("key", "fetches", "n")
+    for d in done[1:]:
+        out = out.union(d)
+    return out.select(F.col("key").alias(key), "fetches", (F.col("n") - F.col("fetches")).alias("hits"))

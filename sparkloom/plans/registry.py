@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import catalog, details, listings, nearest, traffic
+from . import catalog, details, ingest, listings, nearest, outputs, traffic
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (catalog, listings, traffic, nearest, details):
+for _module in (catalog, listings, traffic, nearest, details, ingest, outputs):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

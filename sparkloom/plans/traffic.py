@@ -66,7 +66,11 @@ WITH = f"WITH {_LOG}, {_CLASSED}"
 
 
 def classified(spark, d) -> DataFrame:
-    r = request_log(spark, d)
+    return with_class(request_log(spark, d))
+
+
+def with_class(r: DataFrame) -> DataFrame:
+    """A request log, stored or streamed, with the class of each request."""
     c = F.col
     r = r.withColumn("asn_class", classify.network_class(c("asn"), c("org"))).withColumn("coherent", classify.fetch_coherence(c("user_agent"), c("fetch_mode")))
     verdict = classify.request_class(c("user_agent"), c("token"), c("mcp_valid"), F.lit(None).cast("string"), c("asn"), c("org"), c("coherent"), c("signature"))

@@ -63,7 +63,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that goes like the tables of :func:`written`."""
     folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    files, where = _files(spark, folder)
+    files, where = files_at(spark, folder)
     files.mkdirs(where)
     files.deleteOnExit(where)
     sc = spark.sparkContext
@@ -71,27 +71,37 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}"
 
 
-def _files(spark: SparkSession, path: str):
+def files_at(spark: SparkSession, path: str):
+    """The file system and the path object of ``path``."""
     sc = spark.sparkContext
     where = sc._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(sc._jsc.hadoopConfiguration()), where
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    files, where = _files(spark, path)
+    files, where = files_at(spark, path)
     return files.exists(where)
 
 
 def clear(spark: SparkSession) -> int:
     """Delete the intermediate tables written so far and give their number; results not yet stored can no longer be computed."""
     sc = spark.sparkContext
-    paths, sc._sparkloom_tables = getattr(sc, "_sparkloom_tables", []), []
+    paths, sc._sparkloom_tables, sc._sparkloom_loaded = getattr(sc, "_sparkloom_tables", []), [], {}
     for p in paths:
-        files, where = _files(spark, p)
+        files, where = files_at(spark, p)
         files.delete(where, True)
     return len(paths)
 
 
+def loaded(spark: SparkSession, key: str, build) -> DataFrame:
+    """The table that ``build()`` gives, built and written once per session and ``key``; every further call is a scan of the same table."""
+    sc = spark.sparkContext
+    known = sc._sparkloom_loaded = getattr(sc, "_sparkloom_loaded", {})
+    if key not in known:
+        known[key] = written(build(), "loaded")
+    return known[key]
+
+
 def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
     """A sort-merge join of two sides that both grow with the data.
 

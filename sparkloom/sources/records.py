@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.dedup import changed_rows, latest_per_key
+from ..operators.dedup import changed_rows
+from ..operators.reports import expectations
+from ..runtime import exists
 
 CURRENT_VERSION = 2
 HEADER = "_header boolean, schema_version int, entity_type string, generated_at string"
@@ -32,20 +34,38 @@ def schema_of(entity_type: str) -> T.StructType:
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType, key: str = "id") -> DataFrame:
-    """Rows of a record file: header and malformed lines and rows without a key are skipped, of a key the last line wins.
+    """Rows of a record file or folder: header and malformed lines and rows without a key are skipped, of a key the last line wins.
 
-    ``position`` is the line of the key's first occurrence, counted within the file's byte order. A missing path gives no rows.
+    Lines come in the order of their files by path, then within a file; what ``append_records`` adds comes later. ``position`` is the
+    place (file, split, line) of the key's first occurrence. A missing path gives no rows.
     """
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("position", T.LongType())]))
+    if not exists(spark, path):
+        none = T.StructType([T.StructField("file", T.StringType()), T.StructField("split", T.LongType()), T.StructField("line", T.LongType())])
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("position", none)]))
     full = T.StructType([*schema.fields, T.StructField("_header", T.BooleanType()), T.StructField("_bad", T.StringType())])
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_line"))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", place.alias("_line"))
     rows = lines.select(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"), "_line").where("r is not null and r._bad is null and not coalesce(r._header, false)")
     rows = rows.select("r.*", "_line").drop("_header", "_bad").where(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
-    first = rows.groupBy(key).agg(F.min("_line").alias("position"))
-    return latest_per_key(rows, [key], [F.col("_line")]).drop("_line").join(first, key).select(*schema.fieldNames(), "position")
+    rest = [c for c in rows.columns if c not in (key, "_line")]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*rest), "_line").alias("_row"), F.min("_line").alias("position"))
+    return last.select(key, *[F.col("_row")[c].alias(c) for c in rest], "position").select(*schema.fieldNames(), "position")
+
+
+def verified(spark: SparkSession, path: str, entity_type: str, version: int, required: list[str], arrays: list[str], line_limit: int = 25_000_000) -> DataFrame:
+    """(rule, broken) of a record file read back line by line: exactly one header, its version and type, no malformed line, no line above
+    ``line_limit`` characters, ``arrays`` are arrays and ``required`` members are there in every record."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.try_parse_json("value").alias("v"))
+    get = lambda p, kind="string": F.try_variant_get("v", f"$.{p}", kind)
+    header = F.coalesce(get("_header", "boolean"), F.lit(False))
+    record = F.col("v").isNotNull() & ~header
+    checks = {
+        "header": F.abs(F.count_if(header) - 1), "schema_version": F.count_if(header & ~get("schema_version", "int").eqNullSafe(F.lit(version))), "entity_type": F.count_if(header & ~get("entity_type").eqNullSafe(F.lit(entity_type))),
+        "malformed": F.count_if(F.col("v").isNull()), "line_size": F.count_if(F.length("value") > line_limit),
+        **{f"no_array:{c}": F.count_if(record & get(c, "array<variant>").isNull()) for c in arrays}, **{f"missing:{c}": F.count_if(record & get(c).isNull()) for c in required},
+    }
+    row = lines.agg(*[c.alias(k) for k, c in checks.items()])
+    return expectations(row, {k: F.col(f"`{k}`") for k in checks})
 
 
 def read_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -53,10 +73,10 @@ def read_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_snapshots(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """All files named YYYY-MM-DD.json of a folder with their date; others are skipped."""
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d{4}-\d{2}-\d{2})\.json$", 1)
-    rows = spark.read.schema(schema).option("multiLine", True).json(folder)
+def read_snapshots(spark: SparkSession, folder: str, schema: T.StructType, lines: bool = False) -> DataFrame:
+    """Everything below a folder in files, or with ``lines`` in folders of JSON lines, named YYYY-MM-DD.json (with a ``column=`` before it or not), with its date; others are skipped."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"/(?:\w+=)?(\d{4}-\d{2}-\d{2})\.json" + ("/[^/]*$" if lines else "$"), 1)
+    rows = spark.read.schema(schema).option("multiLine", not lines).option("recursiveFileLookup", True).json(folder)
     return rows.select("*", name.alias("snapshot_date")).where("snapshot_date <> ''").withColumn("snapshot_date", F.to_date("snapshot_date"))
 
 
@@ -66,6 +86,16 @@ def read_statements(text: str) -> list[str]:
     return [s.strip() for s in "\n".join(lines).split(";") if s.strip()]
 
 
+def run_script(spark: SparkSession, text: str) -> DataFrame:
+    """Run the statements of a SQL script in order and return the result of the last."""
+    out = None
+    for statement in read_statements(text):
+        out = spark.sql(statement)
+    if out is None:
+        raise ValueError("the script has no statement")
+    return out
+
+
 def upcast(df: DataFrame, entity_type: str) -> DataFrame:
     """Rows in the current version: missing origin, home_url and docs_url are filled, lists lose nulls, numbers that are not finite are null.
 
@@ -125,16 +155,28 @@ for _type in EXTRA:
 
 def first_existing(spark: SparkSession, *paths: str | None) -> str:
     """The first of ``paths`` that exists (null ones are skipped): an override, then the places in order."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
-        if p and jvm.org.apache.hadoop.fs.Path(p).getFileSystem(conf).exists(jvm.org.apache.hadoop.fs.Path(p)):
+        if p and exists(spark, p):
             return p
     raise FileNotFoundError(", ".join(p for p in paths if p) or "no path given")
 
 
+def draw(number: Column, seed: int) -> Column:
+    """A draw of 32 bits for each row number and seed, the same on every machine: products of 32 bits are made in two halves."""
+    mask, step = F.lit(2**32 - 1), 1831565813
+    times = lambda a, b: (a.bitwiseAND(F.lit(65535)) * b + F.shiftleft(F.shiftright(a, 16) * b.bitwiseAND(F.lit(65535)) % 65536, 16)).bitwiseAND(mask)
+    low = lambda x: x.cast("long").bitwiseAND(mask)
+
+    def mixed(t: Column) -> Column:
+        u = times(t.bitwiseXOR(F.shiftright(t, 15)), t.bitwiseOR(F.lit(1)))
+        return F.get(F.transform(F.transform(F.array(u), lambda u: u.bitwiseXOR(low(u + times(u.bitwiseXOR(F.shiftright(u, 7)), u.bitwiseOR(F.lit(61)))))), lambda v: v.bitwiseXOR(F.shiftright(v, 14))), F.lit(0))
+
+    return F.get(F.transform(F.array(low(number.cast("long") * step + seed + step)), mixed), F.lit(0))
+
+
 def synthetic_records(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
     """``n`` made-up skill records, the same for the same seed: tiers about 5, 25 and 70 per cent, eight categories in turn."""
-    u = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(10_000)) / 10_000.0
+    u = lambda k: draw(F.col("id") * 4 + k, seed) / 2**32
     tier = F.when(u(1) < 0.05, "featured").when(u(1) < 0.30, "solid").otherwise("listed")
     score = F.when(u(1) < 0.05, 80 + F.floor(u(2) * 21)).when(u(1) < 0.30, 50 + F.floor(u(2) * 30)).otherwise(F.floor(u(2) * 50))
     repo = F.concat(F.lit("owner"), F.floor(u(3) * F.sqrt(F.lit(n)) + 1).cast("string"), F.lit("/repo"))

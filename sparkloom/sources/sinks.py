@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.dedup import changed_rows, latest_per_key
+from ..runtime import files_at
+from .documents import batches
 
 
 def write_records(df: DataFrame, path: str, entity_type: str, version: int, generated_at: str) -> None:
@@ -20,10 +23,28 @@ def write_records(df: DataFrame, path: str, entity_type: str, version: int, gene
 
 
 def append_records(df: DataFrame, path: str) -> None:
-    """Append JSON lines; a header cannot be appended."""
+    """Append JSON lines, which are read after all that is there; a header cannot be appended."""
     if "_header" in df.columns:
         raise ValueError("a header line cannot be appended")
-    df.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
+    # Files are read in the order of their names; those of an appended part follow all that are there. Readers pass over names with an underscore.
+    now = f"{time.time_ns():020d}"
+    df.select(F.to_json(F.struct("*")).alias("value")).write.text(f"{path}/_appended-{now}")
+    files, folder = files_at(df.sparkSession, f"{path}/_appended-{now}")
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("part-"):
+            files.rename(status.getPath(), folder.getParent().suffix(f"/part-appended-{now}-{name}"))
+    files.delete(folder, True)
+
+
+def write_arrays(df: DataFrame, path: str, rows: int) -> None:
+    """Files of one JSON array each, of at most ``rows`` objects."""
+
+    def arrays(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches(frames, rows):
+            yield pd.DataFrame({"value": ["[" + ",\n".join(part["value"]) + "]"]})
+
+    df.select(F.to_json(F.struct("*")).alias("value")).mapInPandas(arrays, "value string").write.option("maxRecordsPerFile", 1).text(path)
 
 
 def document(row: DataFrame, **parts: Column) -> DataFrame:
@@ -60,8 +81,8 @@ def upsert(stored: DataFrame, new: DataFrame, key: list[str], order: list[Column
     return latest_per_key(stored.unionByName(new, allowMissingColumns=True), key, order)
 
 
-def deliver(df: DataFrame, send: Callable[[list[dict]], None], batch: int = 500) -> DataFrame:
-    """Send rows in batches to a service; a batch that fails is halved until the bad rows are alone. Gives (index, error) of those.
+def deliver(df: DataFrame, send: Callable[[list[dict]], None], batch: int = 500, key: str | None = None) -> DataFrame:
+    """Send rows in batches to a service; a batch that fails is halved until the bad rows are alone. Gives (row, error) of those: the row is named by ``key``, or as a whole.
 
     ``send`` runs on the executors and must accept repeats: a lost task sends its rows again.
     """
@@ -76,7 +97,7 @@ def deliver(df: DataFrame, send: Callable[[list[dict]], None], batch: int = 500)
                     send(rows[a:b])
                 except Exception as e:
                     if b - a == 1:
-                        bad.append((str(rows[a]), str(e)))
+                        bad.append((str(rows[a][key] if key else rows[a]), str(e)))
                     else:
                         stack += [((a + b) // 2, b), (a, (a + b) // 2)]
             yield pd.DataFrame(bad, columns=["row", "error"])

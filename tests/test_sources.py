@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.sources import directories, documents, records, sinks
+from sparkloom.sources import directories, documents, openapi, records, sinks
 
 
 def lines(tmp_path, rows, name="r.ndjson"):
@@ -72,14 +72,16 @@ def test_directories(spark, tmp_path):
         directories.harvest(all_, least={"gov": 3})
 
 
-def test_api_description_of_both_versions(spark):
+def test_api_profiles_and_operations_of_both_specifications(spark):
     v3 = {"openapi": "3.0.1", "info": {"title": "T", "license": {"name": "MIT"}}, "servers": [{"url": "https://{r}.x.example/v1", "variables": {"r": {"default": "eu"}}}], "components": {"securitySchemes": {"k": {"type": "apiKey"}}}, "security": [{"k": []}], "paths": {"/a": {"get": {"summary": "s" * 100, "responses": {"200": {"content": {"application/json": {}}}}}, "parameters": []}, "/graphql": {"post": {"operationId": "q"}}}}
-    v2 = {"swagger": "2.0", "host": "h.example", "basePath": "/b", "schemes": ["http"], "produces": ["text/csv"], "paths": {"/x": {"delete": {}}}, "externalDocs": {"url": "d"}}
-    rows = spark.createDataFrame([(0, json.dumps(v3)), (1, json.dumps(v2)), (2, "[1]"), (3, "{bad"), (4, None), (5, '{"paths": {"/x": [1], "/y": null}, "servers": "no", "info": 3}')], "i int, t string")
-    out = {r["i"]: r["d"] for r in rows.select("i", documents.api_description("t").alias("d")).collect()}
-    assert out[0]["base_urls"] == ["https://eu.x.example/v1"] and out[0]["endpoint_count"] == 2 and out[0]["transport"] == "graphql" and len(out[0]["endpoint_summaries"][0]) == 80 and out[0]["required"] == ["k"] and out[0]["license"] == "MIT"
-    assert out[1]["base_urls"] == ["http://h.example/b"] and out[1]["media_types"] == ["text/csv"] and out[1]["docs_url"] == "d"
-    assert out[2]["endpoint_count"] is None and out[3]["base_urls"] is None and out[4]["title"] is None and out[5]["endpoint_count"] == 0
+    v2 = {"swagger": "2.0", "host": "h.example", "basePath": "/b", "schemes": ["http", "wss"], "produces": ["text/csv"], "paths": {"/x": {"delete": {}}}, "externalDocs": {"url": "d"}}
+    rows = spark.createDataFrame([(0, json.dumps(v3)), (1, json.dumps(v2)), (2, "[1]"), (3, "{bad"), (4, None), (5, '{"paths": {"/x": [1], "/y": null}, "servers": "no", "info": 3}'), (6, "{}")], "i int, t string")
+    out = {r["i"]: r["d"] for r in rows.select("i", openapi.api_profile(F.col("t")).alias("d")).collect()}
+    assert out[0]["servers"] == ["https://eu.x.example/v1"] and out[0]["operations"] == 2 and out[0]["style"] == "graphql" and out[0]["needs"] == ["k"] and out[0]["licence"] == "MIT" and out[0]["auth"][0]["kind"] == "apiKey"
+    assert out[1]["servers"] == ["http://h.example/b", "wss://h.example/b"] and out[1]["media"] == ["text/csv"] and out[1]["documentation"] == "d"
+    assert out[2] is None and out[3] is None and out[4] is None and out[5]["operations"] == 0 and out[6]["servers"] == []
+    ops = [tuple(r) for r in openapi.api_operations(rows, "i", "t").collect()]
+    assert ops == [(0, 1, "/a", "get", "s" * 80), (0, 2, "/graphql", "post", "q"), (1, 1, "/x", "delete", "")]
 
 
 def test_frontmatter_documents(spark):
