@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut, written
+from ..runtime import cut, merged, written
 from .components import connected_components
 
 #: Rows of a block in exact search; block meets block, one task each.
@@ -166,19 +166,188 @@ def linked(df: DataFrame, id_col: str, v: str, threshold: float, blocks: int | N
     return q.groupBy("by", "to").cogroup(y.groupBy("by", "to")).applyInPandas(meet, f"id {kind}, neighbour {kind}, similarity double")
 
 
-def near_duplicates(df: DataFrame, id_col: str, v: str, order: list[Column], threshold: float = 0.92) -> DataFrame:
+#: Vectors of a cell, about; vectors that the cells are fitted on, at most; cells, at most; queries by which the number of probed cells is set.
+CELL, FIT, MAX_CELLS, TRIALS = 500, 20_000, 4096, 200
+
+
+def spherical_centres(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
+    """Unit centres of ``cells`` groups of the unit rows of ``x`` by Lloyd rounds on the sphere."""
+    c = x[np.random.default_rng(seed).choice(len(x), min(cells, len(x)), replace=False)]
+    for _ in range(rounds):
+        own = (x @ c.T).argmax(axis=1)
+        total = np.zeros_like(c)
+        np.add.at(total, own, x)
+        n = np.linalg.norm(total, axis=1, keepdims=True)
+        c = np.where(n > 0, total / np.maximum(n, 1e-300), c)
+    return c
+
+
+class Cells:
+    """An index over the valid vectors of a table: each vector belongs to the nearest of some centres. The centres are fitted on a bounded
+    sample, their number grows with the table; every vector is indexed. A cell with more than ``part`` vectors is cut by hash.
+
+    rows: id, u (unit vector), cell, part. Vectors must be valid (see ``invalid_reason``), ids unique.
+    """
+
+    def __init__(self, df: DataFrame, id_col: str, v: str, cell: int = CELL, part: int = BLOCK_ROWS):
+        self.id_kind = df.schema[id_col].dataType.simpleString()
+        rows = written(df.where(F.col(id_col).isNotNull() & F.col(v).isNotNull()).select(F.col(id_col).alias("id"), unit(F.col(v)).alias("u")), "units")
+        self.n = rows.count()
+        sample = [r["u"] for r in rows.orderBy(F.xxhash64("id")).limit(FIT).select("u").collect()]  # FIT rows at most
+        self.centres = centres = spherical_centres(np.array(sample), max(1, min(MAX_CELLS, self.n // cell))) if sample else np.zeros((1, 1))
+
+        @F.pandas_udf("struct<cell:int,angle:double>")
+        def nearest(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for u in it:
+                s = np.stack(u.to_numpy()) @ centres.T
+                yield pd.DataFrame({"cell": s.argmax(axis=1).astype(np.int32), "angle": np.arccos(np.clip(s.max(axis=1), -1, 1))})
+
+        placed = written(rows.withColumn("_c", nearest("u")).select("id", "u", "_c.cell", "_c.angle"), "cells")
+        # One row per cell.
+        sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).toPandas()
+        self.parts = dict(zip(sizes["cell"], np.ceil(sizes["n"] / part).astype(int)))
+        self.radius = np.full(len(self.centres), -np.inf)
+        self.radius[sizes["cell"].to_numpy(int)] = sizes["radius"]
+        parts = F.try_element_at(F.create_map(*[F.lit(int(x)) for kv in self.parts.items() for x in kv]), F.col("cell")) if self.parts else F.lit(1)
+        self.rows = placed.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+
+    def nearest(self, k: int, probes: int) -> DataFrame:
+        """(id, neighbour, similarity, place): the ``k`` nearest of every vector among those of the ``probes`` nearest cells, ties by smaller id."""
+        centres, parts, kind = self.centres, self.parts, self.id_kind
+        probes = min(probes, len(centres))
+
+        @F.pandas_udf("array<struct<cell:int,part:int>>")
+        def asked(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for u in it:
+                near = np.argsort(-(np.stack(u.to_numpy()) @ centres.T), axis=1, kind="stable")[:, :probes]
+                yield pd.Series([[{"cell": int(c), "part": p} for c in row for p in range(parts.get(int(c), 0))] for row in near])
+
+        q = self.rows.select("id", "u", F.explode(asked("u")).alias("to")).select("id", "u", "to.cell", "to.part")
+
+        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return pd.DataFrame({"id": [], "neighbour": [], "similarity": []})
+            b = b.sort_values("xid", kind="stable")
+            return top_similar(np.stack(a["u"].to_numpy()), a["id"].to_numpy(), np.stack(b["xu"].to_numpy()), b["xid"].to_numpy(), k)
+
+        x = self.rows.select(F.col("id").alias("xid"), F.col("u").alias("xu"), F.col("cell").alias("xcell"), F.col("part").alias("xpart"))
+        near = q.groupBy("cell", "part").cogroup(x.groupBy("xcell", "xpart")).applyInPandas(meet, f"id {kind}, neighbour {kind}, similarity double")
+        order = Window.partitionBy("id").orderBy(F.desc(F.round("similarity", 12)), "neighbour")
+        return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+    def probes_for(self, k: int, recall: float) -> int:
+        """The number of cells in which ``recall`` of the true ``k`` nearest of TRIALS vectors lie, by brute force over all vectors."""
+        if len(self.centres) == 1 or not self.n:
+            return 1
+        trial = self.rows.orderBy(F.xxhash64(F.lit("trial"), "id")).limit(TRIALS).select("id", "u")
+        true = exact_neighbours(self.rows.select("id", "u"), "id", "u", k, trial).select("id", "neighbour")
+        found = true.join(self.rows.select(F.col("id").alias("neighbour"), "cell"), "neighbour").join(F.broadcast(trial), "id").select("u", "cell").toPandas()  # k * TRIALS rows at most
+        rank = np.argsort(np.argsort(-(np.stack(found["u"].to_numpy()) @ self.centres.T), axis=1, kind="stable"), axis=1)[np.arange(len(found)), found["cell"].to_numpy(int)]
+        return int(np.sort(rank)[max(0, int(np.ceil(recall * len(rank))) - 1)]) + 1
+
+    def meetings(self, angle: float) -> list[tuple[int, int]]:
+        """Pairs of cells, a <= b, that can hold two vectors no farther apart than ``angle``: by the triangle inequality no other pair can."""
+        between = np.arccos(np.clip(self.centres @ self.centres.T, -1, 1))
+        a, b = np.nonzero(np.triu(between <= angle + self.radius[:, None] + self.radius[None, :] + 1e-9))
+        return list(zip(a.tolist(), b.tolist()))
+
+
+def top_similar(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int) -> pd.DataFrame:
+    """(id, neighbour, similarity): all rows of ``x`` that reach the k-th greatest product with each row of ``q``, rows of the same id left out."""
+    out = []
+    for at in range(0, len(q), 512):
+        s = q[at : at + 512] @ x.T
+        s[q_id[at : at + 512, None] == x_id[None, :]] = -np.inf
+        n = min(k, len(x_id))
+        floor = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
+        r, c = np.nonzero((s >= floor - 1e-12) & np.isfinite(s))
+        out.append(pd.DataFrame({"id": q_id[at + r], "neighbour": x_id[c], "similarity": s[r, c]}))
+    return pd.concat(out)
+
+
+def indexed_neighbours(df: DataFrame, id_col: str, v: str, k: int, recall: float = 0.98) -> DataFrame:
+    """Approximate neighbours by :class:`Cells`: as many cells are probed as hold ``recall`` of the true neighbours of a sample of queries.
+
+    Columns as in :func:`exact_neighbours`; similarities are exact, a true neighbour can only be missed. The work is that of the
+    probed cells: in proportion to the table where neighbours are near, towards all pairs where they are as far as any other vector.
+    """
+    cells = Cells(df, id_col, v)
+    return cells.nearest(k, cells.probes_for(k, recall))
+
+
+def cell_links(cells: Cells, threshold: float) -> DataFrame:
+    """(id, neighbour, similarity): links above ``threshold`` that join what all pairs above it join.
+
+    Only cells that can hold such a pair meet, one task each, so nothing is missed. Of the pairs in one meeting a spanning forest is
+    kept: a group of any size costs at most one row a vector and meeting, and components over the result are those over all pairs.
+    """
+    kind, parts = cells.id_kind, cells.parts
+    spark = cells.rows.sparkSession
+    met = [(n, a, i, b, j) for n, (a, b, i, j) in enumerate((a, b, i, j) for a, b in cells.meetings(float(np.arccos(np.clip(threshold, -1, 1)))) for i in range(parts.get(a, 0)) for j in range(parts.get(b, 0)) if a != b or i <= j)]
+    schema = "meeting long, cell int, part int"
+    left, right = ([(m[0], m[at], m[at + 1]) for m in met] for at in (1, 3))
+    own = cells.rows.select("id", "u", "cell", "part")
+    q = merged(own, spark.createDataFrame(left, schema), ["cell", "part"])
+    y = merged(own, spark.createDataFrame(right, schema), ["cell", "part"]).select(F.col("meeting").alias("at"), F.col("id").alias("xid"), F.col("u").alias("xu"))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "neighbour": [], "similarity": []})
+        qs, m = np.stack(a["u"].to_numpy()), np.stack(b["xu"].to_numpy())
+        own, ids, out = a["id"].to_numpy(), b["xid"].to_numpy(), [pd.DataFrame({"id": a["id"][:0], "neighbour": a["id"][:0], "similarity": np.empty(0)})]
+        nodes, at = np.unique(np.concatenate([own, ids]), return_inverse=True)
+        left, right, part = at[: len(own)], at[len(own) :], np.arange(len(nodes))
+        for first in range(0, len(own), 512):
+            s = qs[first : first + 512] @ m.T
+            s[own[first : first + 512, None] == ids[None, :]] = -np.inf
+            for i in np.flatnonzero((s > threshold).any(axis=1)):
+                cols = np.flatnonzero(s[i] > threshold)
+                cols = cols[part[right[cols]] != part[left[first + i]]]
+                if len(cols):
+                    groups, one = np.unique(part[right[cols]], return_index=True)
+                    out.append(pd.DataFrame({"id": np.repeat(own[first + i], len(one)), "neighbour": ids[cols[one]], "similarity": s[i, cols[one]]}))
+                    to = np.arange(len(nodes))
+                    to[groups] = part[left[first + i]]
+                    part = to[part]
+        return pd.concat(out)
+
+    return q.groupBy("meeting").cogroup(y.groupBy("at")).applyInPandas(meet, f"id {kind}, neighbour {kind}, similarity double")
+
+
+def near_duplicates(df: DataFrame, id_col: str, v: str, order: list[Column], threshold: float = 0.92, recall: float = 0.98) -> DataFrame:
     """(id, component, canonical, is_duplicate, novelty): components over all pairs above ``threshold``.
 
-    canonical is the first of a component in ``order`` (then id); novelty is 1 - similarity of the nearest, within 0..1.
+    canonical is the first of a component in ``order`` (then id); novelty is 1 - similarity of the nearest, within 0..1. Components are
+    exact; the nearest is that of the cells which hold ``recall`` of the nearest (see :func:`indexed_neighbours`). 1 keeps all cells.
     """
-    near = written(linked(df, id_col, v, threshold), "near")
-    parts = connected_components(near.where(F.col("similarity") > threshold).select(F.col("id").alias("a"), F.col("neighbour").alias("b")))
-    best = near.groupBy("id").agg(F.max("similarity").alias("top"))
-    rows = df.select(F.col(id_col).alias("id"), F.struct(*order, F.col(id_col)).alias("_order")).join(best, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
+    cells = Cells(df, id_col, v)
+    parts = connected_components(written(cell_links(cells, threshold), "links").select(F.col("id").alias("a"), F.col("neighbour").alias("b")))
+    best = cells.nearest(1, cells.probes_for(1, recall) if recall < 1 else len(cells.centres)).groupBy("id").agg(F.max("similarity").alias("top"))
+    rows = df.where(F.col(id_col).isNotNull() & F.col(v).isNotNull()).select(F.col(id_col).alias("id"), F.struct(*order, F.col(id_col)).alias("_order"))
+    rows = merged(merged(rows, best, "id", "left"), parts.withColumnRenamed("node", "id"), "id", "left")
     rows = rows.withColumn("component", F.coalesce("component", "id"))
     heads = rows.groupBy("component").agg(F.min_by("id", "_order").alias("canonical"))
     novelty = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.coalesce("top", F.lit(0.0))))
-    return rows.join(heads, "component").select("id", "component", "canonical", (F.col("id") != F.col("canonical")).alias("is_duplicate"), novelty.alias("novelty"))
+    return merged(rows, heads, "component").select("id", "component", "canonical", (F.col("id") != F.col("canonical")).alias("is_duplicate"), novelty.alias("novelty"))
+
+
+def gates(exact: DataFrame, found: DataFrame, threshold: float, share: float = 0.05) -> DataFrame:
+    """One row that compares an approximate run with the exact one, both (id, neighbour, similarity): pair_recall above ``threshold``;
+    flap, the share of ids that are duplicates (a neighbour above it) in one run only; overlap of the neighbours; novelty_jaccard of
+    the ``share`` of ids whose nearest is farthest (ties by id)."""
+    r = recall(exact, found, threshold)
+
+    def per_id(df: DataFrame, name: str) -> DataFrame:
+        top = df.groupBy("id").agg(F.max(F.round("similarity", 9)).alias("top"))
+        n = top.agg(F.ceil(F.count(F.lit(1)) * share).cast("int")).first()[0] or 0
+        novel = top.orderBy("top", "id").limit(n).select("id", F.lit(True).alias("novel"))
+        return merged(top, novel, "id", "left").select("id", (F.col("top") > threshold).alias(f"{name}_dup"), F.coalesce("novel", F.lit(False)).alias(f"{name}_novel"))
+
+    both = merged(per_id(exact, "a"), per_id(found, "b"), "id", "full").na.fill(False)
+    flap = F.count_if(F.col("a_dup") != F.col("b_dup")) / F.nullif(F.count(F.lit(1)), F.lit(0))
+    jaccard = F.count_if(F.col("a_novel") & F.col("b_novel")) / F.nullif(F.count_if(F.col("a_novel") | F.col("b_novel")), F.lit(0))
+    one = both.agg(F.coalesce(flap, F.lit(0.0)).alias("flap"), F.coalesce(jaccard, F.lit(1.0)).alias("novelty_jaccard"))
+    return r.select("pair_recall", one.select("flap").scalar().alias("flap"), "overlap", one.select("novelty_jaccard").scalar().alias("novelty_jaccard"), "wrong")
 
 
 def recall(exact: DataFrame, found: DataFrame, threshold: float) -> DataFrame:

@@ -85,10 +85,52 @@ def hashed_recall(spark, d) -> DataFrame:
     "SELECT p.node AS id, component, component AS canonical, p.node <> component AS is_duplicate, round(greatest(0, least(1, 1 - s)), 6) AS novelty FROM part p JOIN top ON top.a = p.node"
 )
 def near_duplicate_vectors(spark, d) -> DataFrame:
-    out = vectors.near_duplicates(table(spark, d, "embeddings"), "vec_id", "embedding", [F.col("vec_id")], threshold=0.4)
+    out = vectors.near_duplicates(table(spark, d, "embeddings"), "vec_id", "embedding", [F.col("vec_id")], threshold=0.4, recall=1)
     return out.withColumn("novelty", F.round("novelty", 6))
 
 
+def indexed_top3(spark, d) -> DataFrame:
+    """Approximate neighbours by probed cells: rows only; ``index_gates`` measures exactly this."""
+    near = vectors.indexed_neighbours(table(spark, d, "embeddings"), "vec_id", "embedding", 3)
+    return near.select("id", "neighbour", F.round("similarity", 6).alias("similarity"), "place")
+
+
+def index_gates(spark, d) -> DataFrame:
+    """What the index loses against brute force over all vectors: measured values, so rows only. It should reach a pair recall of 0.995
+    above the threshold, a flap below 0.005, and 0.95 of the neighbours and of the novel ids."""
+    e = table(spark, d, "embeddings")
+    return vectors.gates(vectors.exact_neighbours(e, "vec_id", "embedding", 3), vectors.indexed_neighbours(e, "vec_id", "embedding", 3, recall=0.999), 0.4)
+
+
+QUERIES["indexed_top3"], QUERIES["index_gates"] = indexed_top3, index_gates
+_USABLE = _MODAL + ", v AS (SELECT id, metadata.slug AS slug, \"values\"::DOUBLE[] AS v FROM (SELECT *, " + _REASON + " AS reason FROM skill_vectors, modal) WHERE reason IS NULL AND id IS NOT NULL)"
+
+
+def _usable(spark, d) -> DataFrame:
+    """id, slug, values of the usable vectors."""
+    v = table(spark, d, "skill_vectors").where("id is not null").select("id", F.col("metadata.slug").alias("slug"), "values")
+    size = vectors.modal_size(v, "values").select("size").scalar()
+    return v.withColumn("size", size).where(vectors.invalid_reason(F.col("values"), F.col("size")).isNull()).select("id", "slug", "values")
+
+
+@query(
+    f"WITH RECURSIVE {_USABLE}, u AS (SELECT id, min(v) AS v FROM v GROUP BY 1), edge AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id <> b.id AND list_cosine_similarity(a.v, b.v) > 0.9), "
+    "reach(node, c) AS (SELECT id, id FROM u UNION SELECT edge.b, reach.c FROM reach JOIN edge ON edge.a = reach.node), part AS (SELECT node, min(c) AS component FROM reach GROUP BY 1) SELECT node AS id, component, node <> component AS is_duplicate FROM part"
+)
+def duplicate_records(spark, d) -> DataFrame:
+    """Groups of records whose vectors are nearly the same: all pairs above the threshold, found in cells that can hold one."""
+    rows = _usable(spark, d).groupBy("id").agg(F.min("values").alias("values"))
+    return vectors.near_duplicates(rows, "id", "values", [F.col("id")], threshold=0.9).select("id", "component", "is_duplicate")
+
+
+@query(f"WITH {_USABLE}, u AS (SELECT min(id) AS id, slug, arg_min(v, id) AS v FROM v WHERE slug IS NOT NULL GROUP BY slug), s AS (SELECT a.slug, b.slug AS neighbour, list_cosine_similarity(a.v, b.v) AS s FROM u a JOIN u b ON a.slug <> b.slug) SELECT slug, neighbour, round(s, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY slug ORDER BY round(s, 12) DESC, neighbour) <= 3")
+def similar_items(spark, d) -> DataFrame:
+    """The 3 nearest of each slug among the first record of every other slug, so that twins of a slug take no place."""
+    rows = _usable(spark, d).where("slug is not null").groupBy("slug").agg(F.min_by("values", "id").alias("values"))
+    near = vectors.exact_neighbours(rows, "slug", "values", 3)
+    return near.select(F.col("id").alias("slug"), "neighbour", F.round("similarity", 6).alias("similarity"))
+
+
 @query("WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label, round(array_cosine_similarity(embedding::DOUBLE[64], q::DOUBLE[64]), 6) AS score FROM embeddings, q WHERE label <> 2), b AS (SELECT label, arg_max(vec_id, score) AS vec_id, max(score) AS score FROM s GROUP BY 1) SELECT vec_id, label, floor(score * 10000 + 0.5) / 10000 AS score FROM b ORDER BY b.score DESC, vec_id LIMIT 5")
 def semantic_search(spark, d) -> DataFrame:
     e = table(spark, d, "embeddings")

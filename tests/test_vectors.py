@@ -61,3 +61,50 @@ def test_links_give_the_components_and_nearest_of_all_pairs(spark, blocks):
     found = {r["node"]: r["component"] for r in vectors.connected_components(e).collect()}
     assert [found.get(i, i) for i in range(len(v))] == part.tolist()
     assert near.count() <= 3 * len(v) * blocks
+
+
+def clustered(n, seed=3):
+    rng = np.random.default_rng(seed)
+    heads = rng.normal(size=(n // 20, 24))
+    return heads[rng.integers(0, len(heads), n)] + 0.25 * rng.normal(size=(n, 24))
+
+
+def test_cells_find_what_brute_force_finds(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL", 50)
+    v = clustered(1500)
+    df = frame(spark, v)
+    cells = vectors.Cells(df, "id", "v", cell=50, part=40)
+    assert len(cells.centres) == 30 and max(cells.parts.values()) > 1
+    probes = cells.probes_for(3, 0.98)
+    assert 1 <= probes < 30
+    exact = vectors.exact_neighbours(df, "id", "v", 3)
+    g = vectors.gates(exact, cells.nearest(3, probes), 0.9).first()
+    assert g["wrong"] == 0 and g["overlap"] >= 0.95 and g["pair_recall"] >= 0.95 and g["flap"] < 0.02
+    same = vectors.gates(exact, cells.nearest(3, 30), 0.9).first()
+    assert (same["pair_recall"], same["flap"], same["overlap"], same["novelty_jaccard"]) == (1, 0, 1, 1)
+
+
+def test_cell_links_lose_no_pair_and_leave_far_cells_alone(spark):
+    v = clustered(1500)
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    part = np.arange(len(v))
+    while True:
+        low = np.minimum(part, np.where(s > 0.95, part[None, :], len(v)).min(axis=1))
+        if (low == part).all():
+            break
+        part = low
+    cells = vectors.Cells(frame(spark, v), "id", "v", cell=50, part=40)
+    assert len(cells.meetings(float(np.arccos(0.95)))) < 30 * 31 // 2
+    e = vectors.cell_links(cells, 0.95).select(F.col("id").alias("a"), F.col("neighbour").alias("b"))
+    found = {r["node"]: r["component"] for r in vectors.connected_components(e).collect()}
+    assert [found.get(i, i) for i in range(len(v))] == part.tolist()
+
+
+def test_cells_of_empty_and_tiny_tables(spark):
+    df = frame(spark, np.eye(3))
+    assert vectors.indexed_neighbours(df.where("false"), "id", "v", 2).count() == 0
+    assert vectors.near_duplicates(df.where("false"), "id", "v", [F.col("id")]).count() == 0
+    assert {(r["id"], r["component"], r["novelty"]) for r in vectors.near_duplicates(df, "id", "v", [F.col("id")]).collect()} == {(i, i, 1.0) for i in range(3)}
+    assert vectors.indexed_neighbours(df, "id", "v", 5).count() == 6
