@@ -56,3 +56,18 @@ def ago(days: Column) -> Column:
     """Age as today, days, months or years."""
     n = lambda k: F.floor(days / k).cast("string")
     return F.when(days.isNull(), "unknown").when(days < 1, "today").when(days < 30, F.concat(n(1), F.lit("d"))).when(days < 365, F.concat(n(30), F.lit("mo"))).otherwise(F.concat(n(365), F.lit("y")))
+
+
+#: What a refusal of the credentials themselves says.
+REFUSALS = r"(?i)bad credentials|token .{0,40}(?:expired|revoked)|requires authentication|resource not accessible"
+
+
+def refuses_credentials(status: Column, retry_after: Column, remaining: Column, body: Column) -> Column:
+    """Whether an answer refuses the credentials, so that trying again is useless: 401 always; 403 where no limit explains it and the body says so."""
+    limited = retry_after.isNotNull() | F.coalesce(remaining == 0, F.lit(False))
+    return F.coalesce(status == 401, F.lit(False)) | (F.coalesce(status == 403, F.lit(False)) & ~limited & F.coalesce(body, F.lit("")).rlike(REFUSALS))
+
+
+def credential_level(status: Column, days_left: Column, warn_days: float = 14) -> Column:
+    """fail where credentials are missing (null status), refused or expired, warn where they expire within ``warn_days``, else ok; null days mean that they do not expire."""
+    return F.when(F.coalesce(status, F.lit(0)) != 200, "fail").when(days_left <= 0, "fail").when(days_left < warn_days, "warn").otherwise("ok")

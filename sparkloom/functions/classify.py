@@ -125,3 +125,14 @@ def path_like(path: Column, patterns: list[str]) -> Column:
     for x in patterns:
         out = out | p.ilike(x)
     return out
+
+
+def signature_state(inputs: Column, signature: Column, now: Column) -> Column:
+    """State of a signed request (RFC 9421 headers, times in seconds) before any cryptography: absent, malformed (one header without the
+    other, no key, no creation time or no signature value under the same label), expired, not_yet (created in the future), unverified."""
+    label = F.regexp_extract(inputs, r"^\s*([a-z][\w\-]*)=\(", 1)
+    part = lambda k: F.nullif(F.regexp_extract(inputs, rf';\s*{k}="?([^";]+)"?', 1), F.lit(""))
+    created, expires = part("created").try_cast("long"), part("expires").try_cast("long")
+    value = F.regexp_extract(signature, r"^\s*([a-z][\w\-]*)=:[A-Za-z0-9+/=]+:\s*$", 1)
+    bad = inputs.isNull() | signature.isNull() | (label == "") | (label != value) | part("keyid").isNull() | created.isNull()
+    return F.when(inputs.isNull() & signature.isNull(), "absent").when(F.coalesce(bad, F.lit(True)), "malformed").when(expires <= now, "expired").when(created > now, "not_yet").otherwise("unverified")

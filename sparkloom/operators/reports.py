@@ -30,3 +30,13 @@ def counts_desc(key: str, n: str) -> Column:
     """Aggregate: array of (key, n) by n descending, then key."""
     pairs = F.array_sort(F.collect_list(F.struct((-F.col(n)).alias("m"), F.col(key).alias("key"))))
     return F.transform(pairs, lambda p: F.struct(p.key.alias("key"), (-p.m).alias("n")))
+
+
+def index_changes(required: DataFrame, existing: DataFrame, most: int) -> DataFrame:
+    """(name, change) of an index plan, both sides (name, kind): create, keep, type_conflict, unplanned; and over_capacity instead of create
+    for all that is to be created where that would give more than ``most`` indexes. Kinds compare without case."""
+    r, e = required.select("name", F.lower("kind").alias("want")), existing.select("name", F.lower("kind").alias("have"))
+    both = r.join(e, "name", "full")
+    total = both.agg(F.count(F.lit(1)).alias("n")).scalar()
+    change = F.when(F.col("want").isNull(), "unplanned").when(F.col("have").isNull(), F.when(total > most, "over_capacity").otherwise("create")).when(F.col("want") != F.col("have"), "type_conflict").otherwise("keep")
+    return both.select("name", change.alias("change"))

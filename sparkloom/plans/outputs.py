@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import entities, rules, scoring, text
-from ..operators import vectors
+from ..functions import access, classify, entities, rules, scoring, text
+from ..operators import reports, vectors
 from ..runtime import merged, scratch, written
 from ..sources import documents, sinks
 from ..streaming import jobs
@@ -231,3 +231,45 @@ def cached_lookups(spark, d) -> DataFrame:
 
     e = table(spark, d, "events").select("user_id", "ts")
     return cache_fetches(e, "user_id", "ts", 24 * 3600)
+
+
+_HAVE = [("category", "String"), ("quality_score", "string"), ("slug", "string")]
+_NEED = [("category", "string"), ("quality_score", "number"), ("entity_type", "string"), ("language", "string")]
+_PAIRS = lambda rows: ", ".join(f"('{a}', '{b}')" for a, b in rows)
+
+
+@query(f"WITH need(name, want) AS (VALUES {_PAIRS(_NEED)}), have(name, have) AS (VALUES {_PAIRS(_HAVE)}), b AS (SELECT name, lower(want) AS want, lower(have) AS have, count(*) OVER () AS total, most FROM need FULL JOIN have USING (name), (VALUES (5), (4)) m(most)), c AS (SELECT name, most, CASE WHEN want IS NULL THEN 'unplanned' WHEN have IS NULL THEN CASE WHEN total / 2 > most THEN 'over_capacity' ELSE 'create' END WHEN want <> have THEN 'type_conflict' ELSE 'keep' END AS change FROM b) SELECT name, most, change FROM c")
+def index_changes(spark, d) -> DataFrame:
+    """An index plan against what exists, where it fits and where it does not."""
+    need, have = (spark.createDataFrame(rows, "name string, kind string") for rows in (_NEED, _HAVE))
+    fits = reports.index_changes(need, have, 5).withColumn("most", F.lit(5))
+    return fits.unionByName(reports.index_changes(need, have, 4).withColumn("most", F.lit(4))).select("name", "most", "change")
+
+
+@query("SELECT event_id, event_id % 4 = 1 OR (event_id % 4 = 2 AND event_type NOT IN ('view', 'click') AND event_id % 3 <> 0) AS refused FROM events")
+def refused_credentials(spark, d) -> DataFrame:
+    """Answers that refuse the credentials, among limits and other errors."""
+    e = table(spark, d, "events")
+    status = F.element_at(F.array(F.lit(200), F.lit(401), F.lit(403), F.lit(500)), (F.col("event_id") % 4 + 1).cast("int"))
+    body = F.when(F.col("event_id") % 3 == 0, "Not here").otherwise('{"message": "Bad credentials"}')
+    return e.select("event_id", access.refuses_credentials(status, F.when(F.col("event_type") == "view", "60"), F.when(F.col("event_type") == "click", 0).otherwise(9), body).alias("refused"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' OR user_id % 5 = 0 THEN 'fail' WHEN event_type = 'view' THEN 'ok' WHEN event_id % 40 - 5 <= 0 THEN 'fail' WHEN event_id % 40 - 5 < 14 THEN 'warn' ELSE 'ok' END AS level FROM events")
+def credential_levels(spark, d) -> DataFrame:
+    """Credentials that are missing, refused, expired, about to expire, or well."""
+    e = table(spark, d, "events")
+    status = F.when(F.col("event_type") == "error", 401).when(F.col("user_id") % 5 != 0, 200)
+    return e.select("event_id", access.credential_level(status, F.when(F.col("event_type") != "view", F.col("event_id") % 40 - 5)).alias("level"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'view' THEN 'absent' WHEN event_type = 'error' OR event_id % 7 = 0 THEN 'malformed' WHEN user_id % 3 = 0 THEN 'expired' WHEN user_id % 3 = 1 AND event_id % 2 = 0 THEN 'not_yet' ELSE 'unverified' END AS state FROM events")
+def signature_states(spark, d) -> DataFrame:
+    """What the signature headers of requests tell without their keys."""
+    e = table(spark, d, "events")
+    created = F.when((F.col("user_id") % 3 == 1) & (F.col("event_id") % 2 == 0), 2000).otherwise(900)
+    expires = F.when(F.col("user_id") % 3 == 0, 1000).otherwise(5000)
+    key = F.when(F.col("event_id") % 7 == 0, "").otherwise(';keyid="k1"')
+    inputs = F.when(F.col("event_type") != "view", F.concat(F.lit('sig1=("@authority");created='), created.cast("string"), F.lit(";expires="), expires.cast("string"), key, F.lit(';tag="web-bot-auth"')))
+    signature = F.when(~F.col("event_type").isin("view", "error"), F.lit("sig1=:YWJj+/=:"))
+    return e.select("event_id", classify.signature_state(inputs, signature, F.lit(1000)).alias("state"))
