@@ -11,8 +11,12 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranking import rank_in_groups
 from ..runtime import join_by_key, written
 
+#: Greatest rank that Spark limits in each task before the shuffle (its default).
+GROUP_LIMIT = 1000
+
 
 class Capped(NamedTuple):
     kept: DataFrame
@@ -87,7 +91,9 @@ def cap_per_contributor(rows: DataFrame, contributor: Column, score: Column, id_
     cutoffs = written(boundary_scores(counts, cap), "cutoffs")
     at = join_by_key(rows, cutoffs, per, "contributor")
     tied = at.where("score <=> cutoff")
-    first = tied.withColumn("place", F.row_number().over(Window.partitionBy("contributor").orderBy("id"))).where(F.col("place") <= cap)
+    # Up to GROUP_LIMIT places each task passes on no more than that; beyond, Spark would gather a contributor's ties in one task.
+    placed = tied.withColumn("place", F.row_number().over(Window.partitionBy("contributor").orderBy("id"))) if cap <= GROUP_LIMIT else rank_in_groups(tied, "contributor", [F.col("id")], "place")
+    first = placed.where(F.col("place") <= cap)
     first = written(first.where(F.col("place") <= cap - F.col("above")).select("id", "contributor"), "ties")
     # The last kept id of each boundary: one row per contributor.
     last = first.groupBy("contributor").agg(F.max("id").alias("last_id"))
