@@ -95,10 +95,6 @@ _KINDS_OF = r"(?i)\b(?:every|each|such as|like|all|failures?|style|error pages?|
 _TEMPLATING = r"(?i)(?<!\w)(?:templat|placeholder|substitut|interpolat|render|variable|expression|syntax|token|merge field|mail merge|expand|mustache|handlebars|pars(?:e|er|ing))\w*"
 
 
-def _hits(text: Column, family: dict[str, str], prefix: str) -> list[Column]:
-    return [F.when(text.rlike(p), F.lit(f"{prefix}:{k}")) for k, p in family.items()]
-
-
 def is_repetition(words: Column) -> Column:
     """True where ``words`` are one to three words said over and over, two times at least."""
     unit = F.array_distinct(words)
@@ -147,8 +143,28 @@ def templating_share(text: Column) -> Column:
     return F.length(text) - F.length(F.regexp_replace(F.regexp_replace(text, _ANY_PLACEHOLDER, " "), _TEMPLATING, "")) - placeholder_share(text) + F.regexp_count(text, F.lit(_ANY_PLACEHOLDER))
 
 
-#: Any sign or word without which no placeholder, filler, message or notice is possible; most texts have none and are settled by it.
-_SIGNS = r"[{$#%@<\[]|__|[A-Z0-9]_[A-Z0-9]|TODO|FIXME|TBD|TBA|TBC|N/A|XXX|REPLACE|CHANGE"
+#: Signs of which a placeholder in delimiters or capitals has one.
+_SIGNS = ["{", "$", "#", "%", "@", "<", "[", "_", "TODO", "FIXME", "TBD", "TBA", "TBC", "N/A", "XXX", "REPLACE", "CHANGE"]
+_SCRIPT_WORDS = "java javascript js script scripts scripting active cookies"
+#: pattern -> words of which every text that matches it has one. Most texts have none, and the pattern is not tried on them.
+NEEDED = {
+    "form": "enter saisir type", "own_text": "replace votre your my", "to_complete": "complete completed compléter completer venir remplir ajouter rédiger rediger renseigné renseignée renseigne renseignee manquante manquant coming defined announced written added description untitled titre",
+    "status": "bad unauthorized payment forbidden found allowed timeout time gone many internal implemented gateway unavailable denied trouvé trouvée trouve trouvee refusé refuse interdit error erreur",
+    "absent": "requested page find locate display load erreur", "refused": "have authorized authorised allowed denied blocked forbidden expired timed expiré expire sign log banned many refusé refuse interdit",
+    "failing": "again réessayez réessaye reessayez reessaye server wrong occurred erreur maintenance domain domaine suspended administrator webadministrator ray request reference", "trace": "traceback uncaught unhandled properties property exception java fatal parse syntax undefined keyerror nullpointerexception warning sqlstate",
+    "challenge": "browser navigateur human humain robot captcha security step seconds moment", "switch_on": _SCRIPT_WORDS, "needed": _SCRIPT_WORDS, "without": _SCRIPT_WORDS, "off": _SCRIPT_WORDS + " browser navigateur noscript nothing",
+    "repeat": "blah bla foo bar baz abc test testing string text sample dummy title name description placeholder 123",
+}
+
+
+def _has(words: Column, key: str) -> Column:
+    """Whether the pattern ``key`` can match a text of these words."""
+    known = NEEDED[key].split()
+    if key == "status":  # a number or a word that runs into one: 404, error404
+        return F.exists(words, lambda w: w.isin(known) | ((F.length(w) == 3) & F.substring(w, 1, 1).isin("4", "5")) | F.startswith(w, F.lit("err")))
+    if key == "repeat":  # runs of keys and of single letters
+        return F.exists(words, lambda w: w.isin(known) | F.substring(w, 1, 3).isin("asd", "qwe", "sdf", "hjk", "xxx", "yyy", "zzz", "aaa"))
+    return F.exists(words, lambda w: w.isin(known))
 
 
 def residue_kinds(text: Column) -> Column:
@@ -158,30 +174,39 @@ def residue_kinds(text: Column) -> Column:
     sentence speaks about do not count; nor do placeholders in delimiters in a text that has more characters in words about templates
     than in placeholders. The whole text is searched, whatever its length.
     """
-    signs = text.rlike(_SIGNS)
+    signs = F.lit(False)
+    for sign in _SIGNS:
+        signs = signs | F.contains(text, F.lit(sign))
     prose = F.when(F.contains(text, F.lit("`")) | F.contains(text, F.lit("~~~")), F.regexp_replace(text, CODE, " ")).otherwise(text)
     unspoken = F.when(signs, F.regexp_replace(prose, SPOKEN_OF, " ")).otherwise(prose)
-    delimited = set(DELIMITED)
+
+    def tried(x: Column, of: Column, key: str, pattern: str) -> Column:
+        return (_has(x.words, key) & of.rlike(pattern)) if key in NEEDED else of.rlike(pattern)
 
     def kinds(x: Column) -> Column:
-        in_signs = lambda p: x.signs & x.unspoken.rlike(p)
         found = [
-            *[F.when(F.when(x.signs & x.unspoken.rlike(p), ~x.about).otherwise(F.lit(False)) if k in delimited else in_signs(p) if k not in WORDED else x.unspoken.rlike(p), F.lit(f"placeholder:{k}")) for k, p in GRAMMARS.items()],
-            F.when(in_signs(BARE), F.lit("placeholder:bare")),
-            *_hits(x.unspoken, FILLER, "filler"),
+            *[F.when(tried(x, x.unspoken, k, p) if k in WORDED else x.signs & x.unspoken.rlike(p) & (~x.about if k in DELIMITED else F.lit(True)), F.lit(f"placeholder:{k}")) for k, p in GRAMMARS.items()],
+            F.when(x.signs & x.unspoken.rlike(BARE), F.lit("placeholder:bare")),
+            *[F.when((tried(x, x.unspoken, k, p) | F.contains(x.unspoken, F.lit("...")) & x.unspoken.rlike(p)) if k == "repeat" else tried(x, x.unspoken, k, p), F.lit(f"filler:{k}")) for k, p in FILLER.items()],
             F.when(_run(x.words, _LATIN, 5), F.lit("filler:latin")),
             F.when(is_stand_in(x.words), F.lit("filler:stand_in")),
             F.when(is_repetition(x.words), F.lit("filler:repetition")),
-            *_hits(x.told, MESSAGES, "message"),
-            *_hits(x.unspoken, NOTICES, "notice"),
+            *[F.when(tried(x, x.told, k, p), F.lit(f"message:{k}")) for k, p in MESSAGES.items()],
+            *[F.when(tried(x, x.unspoken, k, p), F.lit(f"notice:{k}")) for k, p in NOTICES.items()],
         ]
         return F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
 
-    # The cleaned texts are bound once per row: inside every test they would be made again for each of them.
-    # A message keeps its sentence unless the sentence is about messages.
+    def told(x: Column) -> Column:
+        """A message keeps its sentence unless the sentence is about messages."""
+        any_ = F.lit(False)
+        for k in MESSAGES:
+            any_ = any_ | _has(x.words, k)
+        return F.struct(x.unspoken.alias("unspoken"), x.words.alias("words"), x.signs.alias("signs"), x.about.alias("about"), F.when(any_, untold(x.unspoken)).otherwise(x.unspoken).alias("told"))
+
+    # The cleaned texts and their words are bound once per row: inside every test they would be made again for each of them.
     about = lambda u: F.when(signs, templating_share(u) > placeholder_share(u)).otherwise(F.lit(False))
-    cleaned = F.transform(F.array(unspoken), lambda u: F.struct(u.alias("unspoken"), untold(u).alias("told"), _words(u).alias("words"), signs.alias("signs"), about(u).alias("about")))
-    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.element_at(F.transform(cleaned, kinds), 1))
+    cleaned = F.transform(F.array(unspoken), lambda u: F.struct(u.alias("unspoken"), _words(u).alias("words"), signs.alias("signs"), about(u).alias("about")))
+    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.element_at(F.transform(F.transform(cleaned, told), kinds), 1))
 
 
 def placeholder_density(text: Column) -> Column:
