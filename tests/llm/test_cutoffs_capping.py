@@ -96,3 +96,12 @@ def test_stored_catalog_takes_back_replaced_states(spark):
     targets = spark.createDataFrame([("s", 100), ("t", 50)], "source string, target_pct long")
     got = {r["source"]: (r["total"], r["cutoff"], r["kept"]) for r in share_cutoffs(stored.tree, stored.current(), targets, "source", "score", "target_pct").collect()}
     assert got == {"s": (1, 7, 1), "t": (2, 30, 1)}
+
+
+def test_caps_above_the_group_limit_give_the_same_rows(spark, monkeypatch):
+    from sparkloom.llm import capping
+
+    df = spark.createDataFrame([(f"i{i:04}", "hot" if i % 3 else "cold", float(i % 4), "", 0, 0) for i in range(900)], ROWS)
+    want = {r[0] for r in cap_per_contributor(df, F.col("kind"), F.col("score"), cap=100).kept.select("id").collect()}
+    monkeypatch.setattr(capping, "GROUP_LIMIT", 20)
+    assert {r[0] for r in cap_per_contributor(df, F.col("kind"), F.col("score"), cap=100).kept.select("id").collect()} == want and len(want) == 200
