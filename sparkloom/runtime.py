@@ -138,6 +138,7 @@ def ship(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parent
     archive = Path(tempfile.mkdtemp(prefix="sparkloom-")) / "sparkloom.zip"
+    atexit.register(shutil.rmtree, archive.parent, ignore_errors=True)  # code only, copied by Spark to the workers
     with zipfile.ZipFile(archive, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent).as_posix())
@@ -148,3 +149,9 @@ def ship(spark: SparkSession) -> None:
 def bounded_broadcast(df: DataFrame, limit: int = 100_000) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``limit`` rows (counted first), else as it is, for an ordinary join."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def looked_up(rows: DataFrame, table: DataFrame, on, how: str = "inner", limit: int = 100_000) -> DataFrame:
+    """``rows`` joined with a table that is often small: by broadcast if it has at most ``limit`` rows (counted first), else by a sort-merge join."""
+    small = bounded_broadcast(table, limit)
+    return rows.join(small, on, how) if small is not table else merged(rows, table, on, how)

@@ -137,3 +137,40 @@ def test_delivery_isolates_bad_rows(spark):
 
     bad = sinks.deliver(spark.range(40).select(F.col("id").alias("n")).coalesce(1), send, 16).collect()
     assert sorted(b["row"] for b in bad) == ["{'n': 17}", "{'n': 3}"]
+
+
+def test_record_files_are_verified(spark, tmp_path):
+    path = lines(tmp_path, [{"_header": True, "schema_version": 1, "entity_type": "skill"}, {"id": "a", "tags": ["x"]}, {"id": "b", "tags": "x"}, "{broken", {"tags": []}, {"_header": True, "schema_version": 2, "entity_type": "api"}])
+    got = {r["rule"]: r["broken"] for r in records.verified(spark, path, "skill", 2, ["id"], ["tags"], line_limit=60).collect()}
+    assert got == {"header": 1, "schema_version": 1, "entity_type": 1, "malformed": 1, "line_size": 1, "no_array:tags": 1, "missing:id": 1}
+
+
+def test_what_is_appended_is_read_last(spark, tmp_path):
+    path, schema = str(tmp_path / "r"), records.T.StructType.fromDDL("id string, n long")
+    df = spark.createDataFrame([("a", 1), ("b", 1)], "id string, n long")
+    sinks.write_records(df, path, "skill", 2, "2026-01-01")
+    for n in (2, 3):
+        sinks.append_records(df.where("id = 'a'").withColumn("n", F.lit(n).cast("long")).repartition(3), path)
+    assert {(r["id"], r["n"]) for r in records.read_records(spark, path, schema).collect()} == {("a", 3), ("b", 1)}
+
+
+def test_arrays_scripts_draws_and_loads(spark, tmp_path):
+    from sparkloom.runtime import loaded
+
+    sinks.write_arrays(spark.range(25).coalesce(1), str(tmp_path / "arrays"), 10)
+    files = [p for p in (tmp_path / "arrays").iterdir() if p.name.startswith("part-")]
+    assert len(files) == 3 and sorted(r["id"] for r in records.read_array(spark, str(tmp_path / "arrays"), records.T.StructType.fromDDL("id long")).collect()) == list(range(25))
+    with pytest.raises(ValueError):
+        records.run_script(spark, "-- nothing")
+
+    def step(n, seed):
+        mul = lambda a, b: a * b & 0xFFFFFFFF
+        t = n * 1831565813 + seed + 1831565813 & 0xFFFFFFFF
+        u = mul(t ^ t >> 15, t | 1)
+        v = u ^ (u + mul(u ^ u >> 7, u | 61)) & 0xFFFFFFFF
+        return v ^ v >> 14
+
+    assert [r[0] for r in spark.range(50).select(records.draw(F.col("id"), 3)).collect()] == [step(n, 3) for n in range(50)]
+    calls = []
+    build = lambda: calls.append(1) or spark.range(4)
+    assert loaded(spark, str(tmp_path), build).count() == loaded(spark, str(tmp_path), build).count() == 4 and len(calls) == 1
