@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranking import rank_in_groups
-from ..runtime import merged, written
+from ..runtime import looked_up, merged, written
 
 #: Second-level labels below which names are registered, path parts that name no offering.
 SUFFIXES = "co|com|org|net|gov|gouv|gob|edu|ac|or|go"
@@ -82,13 +82,13 @@ def with_offerings(listings: DataFrame) -> DataFrame:
     weights = taught.select("word", "offering", "n").join(per_word, "word").select("word", "offering", (F.col("n") / (F.col("all") + 1)).alias("w")).where("w >= 0.2")
     weights = written(weights.unionByName(spelled).groupBy("word", "offering").agg(F.max("w").alias("w")), "weights")
     asked = base.where("offering is null").select("id", F.explode("words").alias("word"))
-    score = asked.join(weights, "word").groupBy("id", "offering").agg(F.sum(-F.log(1 - F.col("w") * 0.999)).alias("score"))
+    score = looked_up(asked, weights, "word").groupBy("id", "offering").agg(F.sum(-F.log(1 - F.col("w") * 0.999)).alias("score"))
     guessed = score.groupBy("id").agg(F.max(F.struct("score", "offering")).alias("m")).where("m.score >= 0.5").select("id", F.col("m.offering").alias("offering"))
     both = given.withColumn("offering_given", F.lit(True)).unionByName(guessed.withColumn("offering_given", F.lit(False)))
     # What the words of a name speak for, so that names in different languages can be compared.
-    meant = listings.select("id", F.explode("name_words").alias("word")).join(weights.where("w >= 0.3"), "word").groupBy("id").agg(F.collect_set("word").alias("name_telling"), F.collect_set("offering").alias("name_meaning"))
+    meant = looked_up(listings.select("id", F.explode("name_words").alias("word")), weights.where("w >= 0.3"), "word").groupBy("id").agg(F.collect_set("word").alias("name_telling"), F.collect_set("offering").alias("name_meaning"))
     none = F.array().cast("array<string>")
-    return listings.join(both, "id", "left").join(meant, "id", "left").withColumn("name_telling", F.coalesce("name_telling", none)).withColumn("name_meaning", F.coalesce("name_meaning", none))
+    return merged(merged(listings, both, "id", "left"), meant, "id", "left").withColumn("name_telling", F.coalesce("name_telling", none)).withColumn("name_meaning", F.coalesce("name_meaning", none))
 
 
 #: Share of the listings with a word whose site begins or ends with it, from which on the word names providers.
@@ -110,8 +110,8 @@ def with_provider_words(listings: DataFrame) -> DataFrame:
     used = written(used.select("word", ((F.col("own") > 0) & (F.col("own") >= OWN_SHARE * F.col("n"))).alias("names"), (F.col("s") != F.col("t")).alias("shared")), "words")
     names = used.where("names").select("word")
     alone = rows.where("site is null").select("id", F.posexplode("name_words").alias("place", "word")).where("length(word) >= 3")
-    alone = merged(alone, used.where("shared and not names").select("word"), "word", "left_anti").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x.word).alias("own_words"))
-    hits = merged(each.where(F.col("site").isNull() | own), names, "word").groupBy("id").agg(F.array_sort(F.collect_set("word")).alias("provider_words"))
+    alone = looked_up(alone, used.where("shared and not names").select("word"), "word", "left_anti").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x.word).alias("own_words"))
+    hits = looked_up(each.where(F.col("site").isNull() | own), names, "word").groupBy("id").agg(F.array_sort(F.collect_set("word")).alias("provider_words"))
     none = F.array().cast("array<string>")
     return merged(merged(rows, hits, "id", "left"), alone, "id", "left").withColumn("provider_words", F.coalesce("provider_words", none)).withColumn("own_words", F.coalesce("own_words", none))
 
