@@ -20,8 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import bounded_broadcast, merged, written
-from .hashing import GOLDEN, WORD, WordHashes, mix
+from ..runtime import looked_up, merged, written
+from .hashing import GOLDEN, WORD, WordHashes, mix, slices
 
 #: Fixed masks over windows of twelve words; 0 marks an ignored position.
 MASKS = ("110110101011", "101101110011", "111001011101")
@@ -122,7 +122,7 @@ def _touched(shared, masks: tuple[str, ...]):
         top = np.uint64(len(bits) * 8 - 1)
         hashes = WordHashes()
         passes = lambda p: (bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1
-        for batch in batches:
+        for batch in slices(batches):
             ids, sizes, words = _spelled(batch, hashes, len(masks[0]))
             ends = np.cumsum(sizes)
             h, at = [], []
@@ -213,8 +213,7 @@ def leaked_passages(items: DataFrame, docs: DataFrame, item_id: str = "item_id",
     touched = written(own(docs, doc_id, doc_text).mapInArrow(_touched(shared, masks), f"{_SPELLED}, hash array<long>, at array<int>"), "touched")
     hits = touched.select(F.col("id").alias("doc_id"), F.col("x").alias("dx"), F.col("n").alias("doc_n"), F.explode(F.arrays_zip("hash", "at")).alias("h")).select("doc_id", "dx", "doc_n", "h.hash", F.col("h.at").alias("doc_at"))
     asked = seeds.select("hash", F.col("id").alias("item_id"), F.col("x").alias("ix"), F.col("n").alias("item_n"), F.col("at").alias("item_at"))
-    small = bounded_broadcast(asked)
-    met = hits.join(small, "hash") if small is not asked else merged(hits, asked, "hash")
+    met = looked_up(hits, asked, "hash")
     # Place in the text minus place in the item is the same along a diagonal.
     diagonals = met.groupBy("doc_id", "dx", "doc_n", "item_id", "ix", "item_n", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(F.collect_set("doc_at").alias("hits"))
     begin, end = F.greatest(F.lit(0), F.col("shift")), F.least(F.col("doc_n"), F.col("item_n") + F.col("shift"))

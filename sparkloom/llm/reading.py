@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import rank_in_groups
 from ..runtime import bounded_broadcast, merged, written
+from .hashing import slices
 
 #: Share of the words of a text that the vocabulary must cover.
 COVERED = 0.7
@@ -136,9 +137,7 @@ def _measurer(shared, covered: float, with_rare: bool):
         h: _Heads = shared.value
         number = {c: i for i, c in enumerate(h.langs)}
         get = h.index.get
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             keys, lines = batch.column(0), [p.split("\n") for p in batch.column(2).to_pylist()]
             label = np.array([number.get(c, -1) for c in batch.column(1).to_pylist()], np.int64)
             parts = [[w.split(" ") for w in ls] for ls in lines]
