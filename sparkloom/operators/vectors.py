@@ -50,18 +50,19 @@ def _blocked(df: DataFrame, id_col: str, v: str, blocks: int) -> DataFrame:
     return df.where(F.col(id_col).isNotNull() & F.col(v).isNotNull()).select(F.col(id_col).alias("id"), F.col(v).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block"))
 
 
-def exact_neighbours(df: DataFrame, id_col: str, v: str, k: int, queries: DataFrame | None = None, min_similarity: float = -2.0, blocks: int | None = None) -> DataFrame:
+def exact_neighbours(df: DataFrame, id_col: str, v: str, k: int, queries: DataFrame | None = None, min_similarity: float = -2.0, blocks: int | None = None, query_blocks: int | None = None) -> DataFrame:
     """(id, neighbour, similarity, place): the ``k`` nearest by cosine of every row, or of ``queries``, against all rows, ties by smaller id.
 
-    Blocks of queries meet blocks of rows, one task and one matrix product each; nothing is collected. Vectors must be valid
+    ``query_blocks`` is for few queries: each row is shipped once for each of their blocks. Blocks of queries meet blocks of rows, one task and one matrix product each; nothing is collected. Vectors must be valid
     (see ``invalid_reason``); a row is not its own neighbour.
     """
     queries = df if queries is None else queries
     blocks = blocks or max(1, -(-df.count() // BLOCK_ROWS))
     kind = df.schema[id_col].dataType.simpleString()
-    every = F.array(*[F.lit(i) for i in range(blocks)])
-    q = _blocked(queries, id_col, v, blocks).select("id", "v", F.col("block").alias("by"), F.explode(every).alias("to"))
-    x = _blocked(df, id_col, v, blocks).select(F.col("id").alias("xid"), F.col("v").alias("xv"), F.col("block").alias("xto"), F.explode(every).alias("xby"))
+    query_blocks = query_blocks or blocks
+    every = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    q = _blocked(queries, id_col, v, query_blocks).select("id", "v", F.col("block").alias("by"), F.explode(every(blocks)).alias("to"))
+    x = _blocked(df, id_col, v, blocks).select(F.col("id").alias("xid"), F.col("v").alias("xv"), F.col("block").alias("xto"), F.explode(every(query_blocks)).alias("xby"))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"id": [], "neighbour": [], "similarity": []})
@@ -240,7 +241,7 @@ class Cells:
         if len(self.centres) == 1 or not self.n:
             return 1
         trial = self.rows.orderBy(F.xxhash64(F.lit("trial"), "id")).limit(TRIALS).select("id", "u")
-        true = exact_neighbours(self.rows.select("id", "u"), "id", "u", k, trial).select("id", "neighbour")
+        true = exact_neighbours(self.rows.select("id", "u"), "id", "u", k, trial, query_blocks=1).select("id", "neighbour")
         found = true.join(self.rows.select(F.col("id").alias("neighbour"), "cell"), "neighbour").join(F.broadcast(trial), "id").select("u", "cell").toPandas()  # k * TRIALS rows at most
         rank = np.argsort(np.argsort(-(np.stack(found["u"].to_numpy()) @ self.centres.T), axis=1, kind="stable"), axis=1)[np.arange(len(found)), found["cell"].to_numpy(int)]
         return int(np.sort(rank)[max(0, int(np.ceil(recall * len(rank))) - 1)]) + 1
