@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import vectors
+from ..operators.meetings import Meetings
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -127,7 +128,8 @@ def duplicate_records(spark, d) -> DataFrame:
 def similar_items(spark, d) -> DataFrame:
     """The 3 nearest of each slug among the first record of every other slug, so that twins of a slug take no place."""
     rows = _usable(spark, d).where("slug is not null").groupBy("slug").agg(F.min_by("values", "id").alias("values"))
-    near = vectors.exact_neighbours(rows, "slug", "values", 3)
+    all_pairs = Meetings(rows, "slug", "values")
+    near = all_pairs.listed(all_pairs.nearest(3, digits=12), 3)
     return near.select(F.col("id").alias("slug"), "neighbour", F.round("similarity", 6).alias("similarity"))
 
 
