@@ -119,9 +119,9 @@ def _usable(spark, d) -> DataFrame:
     "reach(node, c) AS (SELECT id, id FROM u UNION SELECT edge.b, reach.c FROM reach JOIN edge ON edge.a = reach.node), part AS (SELECT node, min(c) AS component FROM reach GROUP BY 1) SELECT node AS id, component, node <> component AS is_duplicate FROM part"
 )
 def duplicate_records(spark, d) -> DataFrame:
-    """Groups of records whose vectors are nearly the same: all pairs above the threshold, found in cells that can hold one."""
+    """Groups of records whose vectors are nearly the same: all pairs above the threshold count."""
     rows = _usable(spark, d).groupBy("id").agg(F.min("values").alias("values"))
-    return vectors.near_duplicates(rows, "id", "values", [F.col("id")], threshold=0.9).select("id", "component", "is_duplicate")
+    return Meetings(rows, "id", "values").grouped(0.9).select("id", "component", (F.col("id") != F.col("component")).alias("is_duplicate"))
 
 
 @query(f"WITH {_USABLE}, u AS (SELECT min(id) AS id, slug, arg_min(v, id) AS v FROM v WHERE slug IS NOT NULL GROUP BY slug), s AS (SELECT a.slug, b.slug AS neighbour, list_cosine_similarity(a.v, b.v) AS s FROM u a JOIN u b ON a.slug <> b.slug) SELECT slug, neighbour, round(s, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY slug ORDER BY round(s, 12) DESC, neighbour) <= 3")

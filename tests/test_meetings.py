@@ -68,3 +68,18 @@ def shuffles_per_pair(df):
 @tables
 def test_similar_items_ships_no_block_twice(spark):
     assert not shuffles_per_pair(entry.queries()["similar_items"](spark, SMALL))
+
+
+@tables
+def test_duplicate_records_ships_no_block_twice(spark):
+    from sparkloom.operators import meetings
+    from sparkloom.plans import nearest
+
+    seen = []
+    real = meetings.Meetings.met
+    try:
+        meetings.Meetings.met = lambda *a: seen.append(real(*a)) or seen[-1]
+        nearest.duplicate_records(spark, SMALL)
+    finally:
+        meetings.Meetings.met = real
+    assert len(seen) == 1 and not shuffles_per_pair(seen[0])
